@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ready(spark: SparkSession) -> None:
-    """Give the session a checkpoint folder only where the cluster names none (tests, a laptop)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: what the cluster names in spark.checkpoint.dir; one of this machine's own only
+    where nothing is named (tests, a laptop)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillwork-"))
+        named = sc._jsc.sc().getCheckpointDir()
+    return named.get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder."""
-    ready(df.sparkSession)
+    """The same rows, computed once and kept in the checkpoint folder until nothing refers to them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a compressed table in the shared folder, removed when the program ends. For results that are
+    read several times: columns are pruned and filters pushed down on each reading."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quillwork-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
