@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.durable import written
 from quillwork.functions.keys import clean_key
-from quillwork.llm import distinct, grouping, heavy, packing, setjoin, topn
+from quillwork.llm import distinct, grouping, heavy, leaks, packing, pii, setjoin, topn
 from quillwork.operators import stats
 from quillwork.sources.readers import table
 
@@ -72,6 +72,15 @@ def p6_distinct_counts(s, d):
     return distinct.counts(_partials6(s, d), GROUPINGS)
 
 
+def p7_found(s, d):
+    found = pii.redact(table(s, d, "review"), "review_id", "text").select("review_id", F.explode("kinds").alias("kind"))
+    return found.distinct()
+
+
+def p7_redacted(s, d):
+    return pii.redact(table(s, d, "review"), "review_id", "text").select("review_id", F.col("redacted").alias("text"), "n_items")
+
+
 def _packed(s, d):
     lengths = written(packing.token_counts(table(s, d, "documents"), "doc_id", "text"))
     return packing.pack(lengths, "doc_id")
@@ -85,6 +94,18 @@ def p8_fill(s, d):
     return packing.fill(_packed(s, d))
 
 
+def _leaks(s, d):
+    return leaks.leaked_passages(table(s, d, "documents"), "doc_id", "text", table(s, d, "benchmark"), "item_id", "text")
+
+
+def p9_found(s, d):
+    return _leaks(s, d).select("doc_id", "item_id").distinct()
+
+
+def p9_passages(s, d):
+    return _leaks(s, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p2_found, p4_found, p4_intervals, p5_found, p6_distinct_counts, p8_containers, p8_fill]
+    own = [p1_found, p2_found, p4_found, p4_intervals, p5_found, p6_distinct_counts, p7_found, p7_redacted, p8_containers, p8_fill, p9_found, p9_passages]
     return {f.__name__: f for f in own}

@@ -35,4 +35,9 @@ SELECT 'day' AS grouping, day, NULL AS state, field, count(DISTINCT id) AS n FRO
 UNION ALL SELECT 'state', NULL, state, field, count(DISTINCT id) FROM x WHERE id IS NOT NULL AND state IS NOT NULL GROUP BY state, field
 UNION ALL SELECT 'day_state', day, state, field, count(DISTINCT id) FROM x WHERE id IS NOT NULL AND day IS NOT NULL AND state IS NOT NULL GROUP BY day, state, field
 UNION ALL SELECT 'all', NULL, NULL, field, count(DISTINCT id) FROM x WHERE id IS NOT NULL GROUP BY field""",
+        "p9_found": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM d WHERE len(w) >= 10)),
+bw AS (SELECT DISTINCT id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM b WHERE len(w) >= 10))
+SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id FROM dw JOIN bw USING (g)""",
     }
