@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.durable import written
 from quillwork.functions.keys import clean_key
-from quillwork.llm import distinct, grouping, heavy, leaks, packing, pii, setjoin, topn
+from quillwork.llm import distinct, grouping, heavy, leaks, packing, pii, residue, setjoin, topn
 from quillwork.operators import stats
 from quillwork.sources.readers import table
 
@@ -106,6 +106,18 @@ def p9_passages(s, d):
     return _leaks(s, d)
 
 
+def _residue(s, d):
+    return residue.residue_texts(table(s, d, "documents"), "doc_id", "text")
+
+
+def p10_found(s, d):
+    return _residue(s, d).select("doc_id").distinct()
+
+
+def p10_reasons(s, d):
+    return _residue(s, d).groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("example"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p2_found, p4_found, p4_intervals, p5_found, p6_distinct_counts, p7_found, p7_redacted, p8_containers, p8_fill, p9_found, p9_passages]
+    own = [p1_found, p2_found, p4_found, p4_intervals, p5_found, p6_distinct_counts, p7_found, p7_redacted, p8_containers, p8_fill, p9_found, p9_passages, p10_found, p10_reasons]
     return {f.__name__: f for f in own}
