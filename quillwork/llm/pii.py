@@ -45,9 +45,9 @@ EXTENSION = re.compile(r"(?:x|ext\.?|extension)[ ]?\d{1,6}$", re.I)
 SPELLED = re.compile(rf"\b(?:(?:plus\s)?(?:{'|'.join(DIGITS.split())})[\s,\-]+){{6,}}(?:{'|'.join(DIGITS.split())})\b", re.I)
 _W = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 ADDRESS = [
-    ("number street", re.compile(rf"\b\d{{1,5}}[a-z]?\s+(?:[NSEW]\.?\s+)?(?:{_W}\s+){{1,3}}?(?:{'|'.join(STREETS.split())})\b", re.I)),
+    ("number street", re.compile(rf"(?<![\w.\-/#])\d{{1,5}}[a-z]?\s+(?:[NSEW]\.?\s+)?(?:{_W}\s+){{1,3}}?(?:{'|'.join(STREETS.split())})\b", re.I)),
     ("box", re.compile(r"\b(?:p\.?\s?o\.?\s*|post(?:al)?\s+(?:office\s+)?|apartado\s+|post)?(?:box|postfach|bp|apartado)\s+(?:no\.?\s*|#\s*)?\d{1,6}\b", re.I)),
-    ("number rue", re.compile(rf"\b\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:{'|'.join(RUES.split())})\b\.?\s+(?:d[eu]s?\s+|de la\s+|d['’]|l['’])?(?:la\s+|l['’])?{_W}(?:\s+[A-ZÀ-Ý]{_W})?", re.I)),
+    ("number rue", re.compile(rf"\b\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:{'|'.join(RUES.split())})\b\.?\s+(?:d[eu]s?\s+|de la\s+|d['’]|l['’])?(?:la\s+|l['’])?{_W}(?:[ ](?-i:[A-ZÀ-Ý]){_W})?", re.I)),
     ("calle number", re.compile(rf"(?:\b(?:{'|'.join(x for x in CALLES.split() if x != 'c/')})\b|\bc/)\.?\s+(?:{_W}\s+){{1,4}},?\s*(?:n[º°.]\s*)?\d{{1,4}}\b(?:,\s*\d{{1,2}}[º°ª]\s*\w)?|(?:\b(?:calle|avenida|plaza|paseo)\b|\bc/)\.?\s+(?:{_W}\s+){{0,3}}{_W},?\s+\d{{1,4}}\b", re.I)),
     ("strasse number", re.compile(r"\b[^\W\d_]{2,}(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig)[ ]+\d{1,4}(?:[ ]?[a-z]\b|\b)", re.I)),
 ]
@@ -155,7 +155,7 @@ def _persons(text: str, m: dict, words: list[tuple[int, int, str, str]]):
             for y in range(x, min(len(run), x + 7)):
                 parts = [words[run[k]] for k in range(x, y + 1)]
                 codes = [p[3] for p in parts]
-                if ("F" not in codes and "U" not in codes) or codes[0] == "p" or codes[-1] == "p":
+                if not set("FU") & set(codes) or not set("TGI") & set(codes) or codes[0] == "p" or codes[-1] in "pIT":
                     continue
                 pattern = codes[0] + "".join(text[parts[k][1] : parts[k + 1][0]].replace("  ", " ") + codes[k + 1] for k in range(len(parts) - 1))
                 if parts[-1][1] - parts[0][0] > MAX_CHARS:

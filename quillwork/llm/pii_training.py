@@ -39,7 +39,7 @@ FRAMES = {
 Booked under {} and nobody could find it.|Happy to share details, {}|Reach out: {}|refund still pending, my mail is {}.|{} <- me|({})|Le reçu est parti à {}.|Écrivez-moi : {}|Meine Mail: {}|Der Newsletter ging an {}.|Correo: {}|Me pueden escribir a {}.
 The complaint form bounced, so try {} instead.|I left {} on the sign-up sheet.|Whoever runs {} should check the spam folder.|{}, {person}|{} / {id_number}|{} - {phone}|{person} {}|Send the bill to {} please.""",
     "phone": """They kept ringing {} during dinner.|Call me on {} after six.|My cell is {}, please ring.|I phoned from {} and got hung up on.|If found, {}.|Text {} for the pictures.|Wrong number on the flyer, it is {} now.|The slip on the table said {}.
-Left a voicemail, {}, still waiting.|They have my number, {}.|Nobody called back ({}).|ph: {}|Mon numéro, {}, était noté.|Llamé al {} y nadie contestó.|Meine Nummer ist {}.|Tel. {}|{} - {person}|{} / {email}|{}|Reach us at {}.|Ring {} before you come.|{id_number} - {}|{} / {id_number}|{} - {id_number} - {person}|{person} - {} - {address}""",
+Left a voicemail, {}, still waiting.|They have my number, {}.|Nobody called back ({}).|ph: {}|Mon numéro, {}, était noté.|Llamé al {} y nadie contestó.|Meine Nummer ist {}.|Tel. {}|{} - {person}|{} / {email}|{}|Reach us at {}.|Ring {} before you come.|Our host scribbled {} on a card.|{} works until nine.|The manager wrote {} on a napkin.|{id_number} - {}|{} / {id_number}|{} - {id_number} - {person}|{person} - {} - {address}""",
     "id_number": """Please delete {} from your system.|Background check for a bike rental: {}.|Why does a gym need my {}?|They would not seat us without it ({}).|The loyalty form wants everything, even {}.|The form still shows {} in plain sight.|{} was printed on the label.
 Shouting {} across the lobby is not okay.|They wrote my {} on the receipt!|For the rental they copied my {}.|I had to read out my {} at the desk.|My file has {} on it, two digits off.|I typed {} into the wrong field.|{person}, {}|{} / {person}|{email}, {}|{}|Pidieron mi {} para entrar.|Ils voulaient {} pour réserver.|Sie wollten {} sehen.|{} - {phone}|{phone} / {}|{} - {phone} - {address}""",
     "address": """Ship it to {}.|They towed the car from {}.|The estimate was for {}, not for us.|Moved here from {} last year.|We live at {}, a short walk away.|They delivered to {} instead of next door.|From {} it takes 30 minutes on foot.|The couch is still sitting in front of {}.
@@ -54,7 +54,7 @@ Parking near Cobble is a headache with a group of nine.|Two blocks off Linden, e
 Cambiaron de dueño en 2014 y se nota.|Depuis les travaux de 1999, la salle a perdu son âme.|Seit dem Umbau 2011 ist es deutlich lauter.|If you are near Marrow Bay, make the detour for the Eggs Benedict.|The Monte Cristo sandwich came with a Dark and Stormy nobody had ordered.
 For $12.00 you get seven pieces and a side of duck noodles.|The haircut took 45 minutes and cost $18.50 before tip.|Table 98, check 0997, seat 0.|SKU 03-3183-75 is out of stock.|Confirmation code was 9009233, still no table.|Room 522 smelled of paint, room 563 did not.
 Rated 4.5/5 by 205 people, so 555 of them are wrong.|Paid $1,154.50 for the party of 58.|The 1,780 calorie shake is a lie.|Flight 4636 was late so we ate at gate 46.|Order #721-7007-62 never arrived.|Visited on 2023-02-16 and again on 04/18/24.
-Gift card 1781 7092 2892 2839 would not scan.|Loyalty number 980816100 gave me nothing.|Invoice 20244030-482 shows the wrong total.|Clean place, friendly stylist, fresh ramen.|Used to drive in from Wexcombe for this, now I cook at home.|Uncle Bo's Diner and Mother Pepper do it cheaper.|Quick way in, no court dates needed.|Little Spoon Bakery is closer than Renée's Spa.|A hidden gem, my friends from Castor Springs agree.
+Gift card 1781 7092 2892 2839 would not scan.|Loyalty number 980816100 gave me nothing.|Invoice 20244030-482 shows the wrong total.|Clean place, friendly stylist, fresh ramen.|They close at 7:15 but stopped seating us well before that.|Used to drive in from Wexcombe for this, now I cook at home.|Uncle Bo's Diner and Mother Pepper do it cheaper.|Quick way in, no court dates needed.|Little Spoon Bakery is closer than Renée's Spa.|A hidden gem, my friends from Castor Springs agree.
 <given> behind the bar makes a watery Tom Collins.|<given> remembered our order from ten weeks ago.|<given> au comptoir connaît tous les habitués.|<given> nos recomendó el caldo.|<given> an der Theke macht den besten Kaffee der Stadt.|Our hostess <given> is a gem, and chef <given> too."""
 PLAIN = [f for line in PLAIN.split("\n") for f in line.split("|") if f]
 
@@ -101,7 +101,7 @@ class Maker:
             names = "zero one two three four five six seven eight nine".split()
             return " ".join(names[int(c)] for c in self.d("9995550199"))
         s = self.d(self.one("999-999-9999", "999.999.9999", "(999) 999-9999", "1 (999) 999 9999", "+1-999-999-9999", "+1 999 999 9999", "9999999999", "999 999 9999", "999 – 999 – 9999", "999/99999-999", "+49 99 99999 999", "+44 9999 999999", "07999 999999", "01 99 99 99 99", "+33 1 99 99 99 99", "999 99 99 99", "+34 999 999 999", "99999/999999"))
-        if re.fullmatch(r"\d{3}-\d{3}-\d{4}", s) and self.r.random() < 0.3:
+        if re.fullmatch(r"\d{3}-\d{3}-\d{4}", s) and self.r.random() < 0.6:
             s += self.d(self.one(" x9", " x99", " x99", " x999", " ext. 999", " ext 99"))
         return s
 
