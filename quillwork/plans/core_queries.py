@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillwork.functions.durable import written
 from quillwork.functions.keys import keyed
 from quillwork.operators import encode, graph, itemsets, metrics, orphans, recommend, similar, stats
 from quillwork.sources.readers import table
@@ -137,7 +138,7 @@ def characteristic_sets(s, d):
 
 
 def _signatures(s, d):
-    sets = _characteristic(s, d)
+    sets = written(_characteristic(s, d))
     idx = encode.dense_index(sets, "member")
     return sets, similar.signatures(sets.join(idx, "member"), idx.count())
 
@@ -157,7 +158,7 @@ def set_classes(s, d):
 
 def _rep_candidates(s, d):
     sets, sigs = _signatures(s, d)
-    reps = similar.classes(sets).filter("item = rep").select("item")
+    reps = written(similar.classes(sets).filter("item = rep").select("item"))
     return sets.join(reps, "item", "left_semi"), similar.bucket_pairs(similar.banded(sigs.join(reps, "item", "left_semi")))
 
 
@@ -172,7 +173,7 @@ def similar_pairs_lsh(s, d):
 
 
 def _exact_pairs(s, d):
-    reps = similar.representatives(_characteristic(s, d))
+    reps = written(similar.representatives(_characteristic(s, d)))
     shared = similar.overlap_pairs(reps, 1).withColumnRenamed("n", "c")
     sizes = reps.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     sized = shared.join(sizes.withColumnsRenamed({"item": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"item": "b", "n": "nb"}), "b")
@@ -256,8 +257,8 @@ def user_cf_uncentred(s, d):
 
 def item_cf_lsh(s, d):
     train = _train(s, d)
-    sets = similar.characteristic(train, "business_id", "user_id")
-    groups = similar.classes(sets)
+    sets = written(similar.characteristic(train, "business_id", "user_id"))
+    groups = written(similar.classes(sets))
     reps = sets.join(groups.filter("item = rep").select("item"), "item", "left_semi")
     idx = encode.dense_index(sets, "member")
     sigs = similar.signatures(reps.join(idx, "member"), idx.count())

@@ -38,6 +38,10 @@ def ratings_csv(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, RATING)
 
 
+def business_csv(spark: SparkSession, path: str) -> DataFrame:
+    return _csv(spark, path, BUSINESS)
+
+
 def truth_csv(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, TRUTH)
 
