@@ -191,6 +191,13 @@ def lsh_precision_recall(s, d):
     return out.select(F.round("precision", 6).alias("precision_"), F.round("recall", 6).alias("recall_"))
 
 
+def similar_pairs_confirmed(s, d):
+    """Pairs that banding and the exact join both find."""
+    sets, candidates = _rep_candidates(s, d)
+    found = similar.jaccard(candidates, sets).filter("similarity >= 0.5").select("a", "b")
+    return metrics.common_rows(found, _exact_pairs(s, d).select("a", "b")).toDF("business_id_1", "business_id_2")
+
+
 def _train(s, d):
     return recommend.ratings(table(s, d, "ratings_train"))
 
@@ -315,7 +322,7 @@ def modularity(s, d):
     """Of the edges without the strongest one."""
     e = _edges(s, d)
     top = graph.edge_betweenness(e).orderBy(F.desc("betweenness"), "src", "dst").limit(1)
-    return graph.modularity(e, e.join(top, ["src", "dst"], "left_anti"))
+    return graph.modularity(e, e.join(top, ["src", "dst"], "left_anti")).select(F.round("q", 9).alias("q"))
 
 
 def girvan_newman(s, d):
@@ -344,7 +351,7 @@ def queries() -> dict[str, Query]:
         state_avg_stars, state_top5, review_summary, useful_count, five_star_count, longest_text, distinct_users, distinct_businesses, top20_users,
         top20_businesses, baskets_by_user, baskets_by_business, basket_size_filter, frequent_singles, frequent_pairs, frequent_triples, frequent_itemsets,
         frequent_itemsets_of_users, itemset_candidates, itemsets_of_larger_baskets, dense_index, characteristic_sets, minhash_signatures, lsh_bands,
-        set_classes, lsh_candidates, similar_pairs_lsh, jaccard_exact_pairs, lsh_precision_recall, group_means, cold_rows, union_ratings, train_test_split,
+        set_classes, lsh_candidates, similar_pairs_lsh, jaccard_exact_pairs, similar_pairs_confirmed, lsh_precision_recall, group_means, cold_rows, union_ratings, train_test_split,
         user_similarity, item_similarity, user_cf, item_cf, item_cf_small_gate, user_cf_clipped, user_cf_uncentred, item_cf_lsh, cf_rmse, als_predictions,
         als_rmse, co_visit_edges, adjacency, vertices, graph_degrees, connected_components, edge_betweenness, modularity, girvan_newman, daily_counts,
         p3_found, p3_orphans_by_month,
