@@ -1,8 +1,8 @@
 """Distinct counts over huge identifier sets, by hash ranges.
 
 An identifier always falls into the same hash bucket, so buckets share none and their counts add up. A partial result
-is a table of distinct (bucket, identifier, group columns) rows: partials of two loads are merged by ``merge``, and
-counts of any combination of the group columns follow exactly (error bound 0) from the merged table.
+is a table of distinct (identifier, group columns) rows: partials of two loads are merged by ``merge``, and counts of
+any combination of the group columns follow exactly (error bound 0) from the merged table, over any number of buckets.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 256  # at least; as many as the session's shuffle partitions on a larger cluster
 
 
-def partial(df: DataFrame, field: str, identifier: Column, groups: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """(field, bucket, id, *groups), distinct; repeats vanish before the shuffle. Null identifiers are dropped."""
+def partial(df: DataFrame, field: str, identifier: Column, groups: list[str]) -> DataFrame:
+    """(field, id, *groups), distinct; repeats vanish before the shuffle. Null identifiers are dropped."""
     rows = df.select(F.lit(field).alias("field"), identifier.cast("string").alias("id"), *groups).filter("id is not null")
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).distinct()
+    return rows.distinct()
 
 
 def merge(*partials: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def merge(*partials: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, partials).distinct()
 
 
-def counts(partials: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+def counts(partials: DataFrame, sets: dict[str, list[str]], buckets: int | None = None) -> DataFrame:
     """(grouping, *all group columns, field, n): distinct identifiers of each named combination of group columns.
 
     A row counts in a combination only if all its columns are known. Everything within a bucket happens after one
@@ -34,7 +34,8 @@ def counts(partials: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
     """
     columns = list(dict.fromkeys(c for s in sets.values() for c in s))
     kinds = {f.name: f.dataType for f in partials.schema}
-    local = partials.repartition("field", "bucket")
+    buckets = buckets or max(BUCKETS, int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    local = partials.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).repartition("field", "bucket")
     views = F.array(*[F.struct(F.lit(name).alias("grouping"), *[(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in columns]) for name, s in sets.items()])
     known = reduce(lambda a, b: a | b, [(F.col("v.grouping") == name) & reduce(lambda x, y: x & y, [F.col(f"v.{c}").isNotNull() for c in s], F.lit(True)) for name, s in sets.items()])
     rows = local.select("field", "bucket", "id", F.explode(views).alias("v")).filter(known).select("field", "bucket", "id", "v.*")

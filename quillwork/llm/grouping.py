@@ -89,7 +89,7 @@ def match_groups(matches: DataFrame, a: str, b: str, bound: int = BOUND, fan_in:
     shape = f"node {kind}, root {kind}"
     edges = matches.select(F.col(a).alias("node"), F.col(b).alias("root")).dropna()
     forest = written(edges.mapInPandas(_reduced, shape))
-    parts = max(1, edges.rdd.getNumPartitions())
+    parts = max(1, forest.rdd.getNumPartitions())
     while True:
         n = forest.count()
         least = max(1, math.ceil(n / bound))

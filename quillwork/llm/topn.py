@@ -29,14 +29,13 @@ def top_items(df: DataFrame, group: str, item: str, score: str, n: int, heavy: i
     task sorts a whole heavy group, not even one of equal scores.
     """
     rows = df.select(F.col(group).alias("group"), F.col(item).alias("item"), F.col(score).cast("double").alias("score")).dropna().filter(~F.isnan("score"))
-    best = rows.groupBy("group", "item").agg(F.max("score").alias("score"))
+    best = written(rows.groupBy("group", "item").agg(F.max("score").alias("score")))
     hot = written(best.groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= heavy).select("group"))
     n_hot = hot.count()
     names = [group, item, score]
     if not n_hot:
         return _top(best, ["group"], n).toDF(*names)
     marked = F.broadcast(hot) if n_hot <= BROADCAST_GROUPS else hot
-    best = written(best)
     light = _top(best.join(marked, "group", "left_anti"), ["group"], n)
     cold = best.join(marked, "group")
     edges = cold.groupBy("group").agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000).alias("edges"))

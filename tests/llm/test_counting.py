@@ -68,8 +68,8 @@ def test_distinct_counts_and_merging(rows):
     for g, d, s, _ in seen:
         want[g, d, s] += 1
     a, b = df.filter("day = 1"), df.filter("day = 2 or day is null")
-    part = lambda x: distinct.partial(x, "id", F.col("id"), ["day", "state"], 4)
+    part = lambda x: distinct.partial(x, "id", F.col("id"), ["day", "state"])
     for p in (part(df), distinct.merge(part(a), part(b), part(a))):
-        got = {(x.grouping, x.day, x.state): x.n for x in distinct.counts(p, sets).collect()}
+        got = {(x.grouping, x.day, x.state): x.n for x in distinct.counts(p, sets, 4).collect()}
         assert got == dict(want)
     assert distinct.counts(part(df.limit(0)), sets).count() == 0
