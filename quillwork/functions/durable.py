@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if named.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="quillwork-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         named = sc._jsc.sc().getCheckpointDir()
     return named.get()
 

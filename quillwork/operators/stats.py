@@ -5,6 +5,8 @@ Nulls are never counted as a value; an empty table gives zero counts and null ma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +50,16 @@ def summary(df: DataFrame, n: int = 20) -> DataFrame:
             F.to_json(F.transform("a", lambda x: F.array(x.k, (-x.m).cast("string")))).alias(name)
         )
 
-    one = df.agg(useful_count().alias("n_useful"), five_star_count().alias("n_five_star"), longest_text().alias("longest"))
-    # every side below is a single row
-    for side in (
+    parts = [
+        df.agg(useful_count().alias("n_useful"), five_star_count().alias("n_five_star"), longest_text().alias("longest")),
         users.agg(F.count(F.lit(1)).alias("n_users")),
         ranked(users, "user_id", "top_users"),
         businesses.agg(F.count(F.lit(1)).alias("n_businesses")),
         ranked(businesses, "business_id", "top_businesses"),
-    ):
-        one = one.join(side)
-    return one
+    ]
+    names = [c for p in parts for c in p.columns]
+    # each part is one row with columns of its own; folding them needs no join
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).agg(*[F.max(c).alias(c) for c in names])
 
 
 def business_states(business: DataFrame) -> DataFrame:

@@ -147,6 +147,13 @@ def minhash_signatures(s, d):
     return _signatures(s, d)[1].select(F.col("item").alias("business_id"), F.concat_ws(",", F.transform("sig", lambda x: x.cast("string"))).alias("sig"))
 
 
+def lsh_bands_small_family(s, d):
+    sets = _characteristic(s, d)
+    idx = encode.dense_index(sets, "member")
+    rows = similar.banded(similar.signatures(sets.join(idx, "member"), idx.count(), similar.ODD_MULTIPLIERS), 10)
+    return rows.select(F.col("item").alias("business_id"), "band", F.element_at("part", 1).alias("r1"), F.element_at("part", 2).alias("r2"))
+
+
 def lsh_bands(s, d):
     rows = similar.banded(_signatures(s, d)[1])
     return rows.select(F.col("item").alias("business_id"), "band", F.element_at("part", 1).alias("r1"), F.element_at("part", 2).alias("r2"))
@@ -350,7 +357,7 @@ def queries() -> dict[str, Query]:
     own = [
         state_avg_stars, state_top5, review_summary, useful_count, five_star_count, longest_text, distinct_users, distinct_businesses, top20_users,
         top20_businesses, baskets_by_user, baskets_by_business, basket_size_filter, frequent_singles, frequent_pairs, frequent_triples, frequent_itemsets,
-        frequent_itemsets_of_users, itemset_candidates, itemsets_of_larger_baskets, dense_index, characteristic_sets, minhash_signatures, lsh_bands,
+        frequent_itemsets_of_users, itemset_candidates, itemsets_of_larger_baskets, dense_index, characteristic_sets, minhash_signatures, lsh_bands, lsh_bands_small_family,
         set_classes, lsh_candidates, similar_pairs_lsh, jaccard_exact_pairs, similar_pairs_confirmed, lsh_precision_recall, group_means, cold_rows, union_ratings, train_test_split,
         user_similarity, item_similarity, user_cf, item_cf, item_cf_small_gate, user_cf_clipped, user_cf_uncentred, item_cf_lsh, cf_rmse, als_predictions,
         als_rmse, co_visit_edges, adjacency, vertices, graph_degrees, connected_components, edge_betweenness, modularity, girvan_newman, daily_counts,

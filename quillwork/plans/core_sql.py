@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillwork.operators.similar import BANDS, MULTIPLIERS
+from quillwork.operators.similar import BANDS, MULTIPLIERS, ODD_MULTIPLIERS
 from quillwork.plans.core_queries import EDGE_LEAST, GATE
 
 
@@ -164,6 +164,9 @@ count(DISTINCT user_id) AS n_users, {_top_json('user_id')} AS top_users, count(D
         "characteristic_sets": f"WITH {PAIRS} SELECT item AS business_id, count(*) AS n, min(member) AS first, max(member) AS last FROM p GROUP BY 1",
         "minhash_signatures": f"WITH {PAIRS}, {SIGS} SELECT item AS business_id, array_to_string(sig, ',') AS sig FROM sg",
         "lsh_bands": f"WITH {PAIRS}, {SIGS}, {BANDED} SELECT item AS business_id, band, r1, r2 FROM bd",
+        "lsh_bands_small_family": f"""WITH {PAIRS}, {INDEX}, nm AS (SELECT count(*) AS n FROM ix),
+sg AS (SELECT item, [{', '.join(f'min(({m} * idx + 1) % nm.n)' for m in ODD_MULTIPLIERS)}] AS sig FROM p JOIN ix USING (member), nm GROUP BY item)
+SELECT item AS business_id, k AS band, sig[2 * k + 1] AS r1, sig[2 * k + 2] AS r2 FROM sg, range(10) t(k)""",
         "set_classes": f"WITH {PAIRS}, {CLASSES} SELECT item AS business_id, rep AS class_id, n FROM cl",
         "lsh_candidates": f"WITH {PAIRS}, {CANDIDATES} SELECT a AS business_id_1, b AS business_id_2 FROM ca",
         "similar_pairs_lsh": f"WITH {PAIRS}, {CANDIDATES}, {EXACT} SELECT a AS business_id_1, b AS business_id_2, round(similarity, 6) AS similarity FROM ex JOIN ca USING (a, b)",
