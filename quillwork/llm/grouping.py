@@ -60,8 +60,10 @@ def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _stars(forest: DataFrame) -> DataFrame:
     """Components of a forest too large for one task: large-star and small-star rounds, each two joins on nodes."""
-    alone = forest.filter("node = root")
-    edges = forest.filter("node <> root").select(F.greatest("node", "root").alias("hi"), F.least("node", "root").alias("lo"))
+    links = forest.filter("node <> root")
+    ends = links.select("node").union(links.select("root"))
+    alone = forest.filter("node = root").join(ends, "node", "left_anti")  # not so where another part links it
+    edges = links.select(F.greatest("node", "root").alias("hi"), F.least("node", "root").alias("lo"))
     before = None
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))

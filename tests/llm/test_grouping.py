@@ -44,3 +44,11 @@ def test_chain_self_and_nulls(rows, bound):
 
 def test_empty(rows):
     assert groups(rows, []) == {} and groups(rows, [(None, None)]) == {}
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 4])
+def test_self_match_linked_in_another_partition(rows, bound):
+    pairs = [(f"{i:03}", f"{i + 1:03}") for i in range(30)] + [(f"{i:03}", f"{i:03}") for i in range(31)] + [("z", "z"), ("z", "z")]
+    df = rows(M, [(x, y, "c", 1) for x, y in pairs]).repartition(6)
+    got = sorted((r.member, r.group_id) for r in grouping.match_groups(df, "a", "b", bound=bound).collect())
+    assert got == [(f"{i:03}", "000") for i in range(31)] + [("z", "z")]
