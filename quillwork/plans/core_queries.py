@@ -112,7 +112,7 @@ def frequent_itemsets(s, d):
 
 
 def frequent_itemsets_of_users(s, d):
-    return _listed(_sets(s, d, 2).filter(F.col("size") <= MAX_LISTED))
+    return _listed(_sets(s, d, 2))
 
 
 def itemset_candidates(s, d):
