@@ -12,7 +12,6 @@ from quillwork.functions.keys import keyed
 from quillwork.operators import encode, graph, itemsets, metrics, orphans, recommend, similar, stats
 from quillwork.sources.readers import table
 
-MAX_LISTED = 3  # sizes for which the itemset queries have SQL
 EDGE_LEAST = 3
 COMMUNITY_LEAST = 4
 GATE = 2
@@ -121,7 +120,7 @@ def itemset_candidates(s, d):
 
 def itemsets_of_larger_baskets(s, d):
     rows = itemsets.larger_baskets(itemsets.orient(table(s, d, "user_business"), 1), 3)
-    return _listed(itemsets.frequent_itemsets(rows, support(s, d)).filter(F.col("size") <= MAX_LISTED))
+    return _listed(itemsets.frequent_itemsets(rows, support(s, d)))
 
 
 def dense_index(s, d):

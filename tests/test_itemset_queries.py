@@ -26,3 +26,10 @@ def test_itemsets_of_users_of_every_size(spark, tmp_path):
     assert max(size for _, size, _ in want) == 5
     got = found(spark, tmp_path, "frequent_itemsets_of_users", [(u, b) for b, users in BASKETS.items() for u in users])
     assert got == sorted(want)
+
+
+def test_itemsets_of_larger_baskets_of_every_size(spark, tmp_path):
+    want = brute_force({u: items for u, items in BASKETS.items() if len(items) > 3})
+    assert max(size for _, size, _ in want) == 5
+    got = found(spark, tmp_path, "itemsets_of_larger_baskets", [(u, b) for u, items in BASKETS.items() for b in items])
+    assert got == sorted(want)
