@@ -145,7 +145,7 @@ def _persons(text: str, m: dict, words: list[tuple[int, int, str, str]]):
             i += 1
             continue
         run = [i]
-        while run[-1] + 1 < n and len(run) < 8:
+        while run[-1] + 1 < n:
             a, b = words[run[-1]], words[run[-1] + 1]
             gap = text[a[1] : b[0]]
             if b[3] == "c" or gap not in (" ", "-", ", ", ". ", ".", "  ", " ", "-​"):

@@ -80,3 +80,14 @@ def test_frame(rows):
 def test_training_is_repeatable():
     a, b = (pii_training.train(["the", "soup"], sentences=60, epochs=1)["weights"] for _ in range(2))
     assert a == b and a
+
+
+def test_names_anywhere_in_a_long_run():
+    m = pii.model()
+    for first in range(8):
+        text = ", ".join(["Marie"] * first + ["Karen Hollowquist"] + ["Marie"] * 8)
+        at = text.index("Karen")
+        assert (at, at + 17, "person") in {c[:3] for c in pii.candidates(text, m)}
+    names = ["Marie Brambleström", "Karen Hollowquist", "Celso Hollowquist", "Dr. Brambleström", "Karen Brambleström"] * 4
+    got = pii.replaced(text := "Marie, " + ", ".join(names), pii.spans_of(text, m))
+    assert "Brambleström" not in got and "Hollowquist" not in got
