@@ -34,6 +34,8 @@ STREETS = "street st avenue ave road rd drive dr boulevard blvd lane ln place pl
 RUES = "rue avenue av bd boulevard place impasse chemin quai allée allee cours passage route square"
 CALLES = "calle c/ avenida avda av plaza paseo camino ronda carrer travesía"
 DIGITS = "zero one two three four five six seven eight nine oh"
+SPOKEN = f"""{DIGITS} cero uno una dos tres cuatro cinco seis siete ocho nueve zéro un une deux trois quatre cinq sept huit neuf
+    null eins zwei zwo drei vier fünf fuenf sechs sieben acht neun"""
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 AT = r"(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|\bat\b)"
@@ -42,7 +44,7 @@ EMAIL = re.compile(rf"[\w.+\-]*\w\s{{0,2}}{AT}\s{{0,2}}[\w\-]+(?:\.[\w\-]+|\s{{0
 NUMBER = re.compile(r"(?:\b[A-Za-z]{2}[ ](?=\d\d[ ]\d\d[ ]\d\d[ ]?[A-Za-z]\b))?\+?\(?[A-Za-z]{0,8}\d\w*(?:\)?[  ]?[-–./]?[  ]?\(?(?:\d\w*|[A-Za-z](?!\w)))*(?:[ ,]{0,2}(?:x|ext\.?|extension)[ ]?\d{1,6})?", re.I)
 GROUP = re.compile(r"\+?\(\d+\)|\+?\w+")
 EXTENSION = re.compile(r"(?:x|ext\.?|extension)[ ]?\d{1,6}$", re.I)
-SPELLED = re.compile(rf"\b(?:(?:plus\s)?(?:{'|'.join(DIGITS.split())})[\s,\-]+){{6,}}(?:{'|'.join(DIGITS.split())})\b", re.I)
+SPELLED = re.compile(rf"\b(?:(?:(?:plus|más)\s)?(?:{'|'.join(SPOKEN.split())})[\s,\-]+){{6,}}(?:{'|'.join(SPOKEN.split())})\b", re.I)
 _W = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 ADDRESS = [
     ("number street", re.compile(rf"(?<![\w.\-/#])\d{{1,5}}[a-z]?\s+(?:[NSEW]\.?\s+)?(?:{_W}\s+){{1,3}}?(?:{'|'.join(STREETS.split())})\b", re.I)),
@@ -55,6 +57,7 @@ ADDRESS = [
 MAIL_WORDS = frozenset("dot punkt punto point".split())
 DIGIT_RUN = re.compile(r"\d[\d .\-–/()  ]*")
 DIGIT_WORDS = frozenset(DIGITS.split())
+SPOKEN_WORDS = frozenset(SPOKEN.split())
 ROAD_SIGNS = {
     "number street": frozenset(STREETS.split()), "box": frozenset("box pobox postbox postfach apartado bp".split()),
     "number rue": frozenset(RUES.split()), "calle number": frozenset([x for x in CALLES.split() if x != "c/"] + ["c"]),
@@ -101,13 +104,15 @@ def _numbers(text: str):
         groups = [(g.start(), g.end()) for g in GROUP.finditer(chunk)]
         tail = EXTENSION.search(chunk)
         for i in range(len(groups)):
-            for j in range(i, min(len(groups), i + 7)):
+            for j in range(i, len(groups)):
                 a, b = groups[i][0], groups[j][1]
+                if b - a > MAX_CHARS:
+                    break
                 if tail and a < tail.start() < b < tail.end():
                     continue
                 part = chunk[a:b]
                 digits = sum(c.isdigit() for c in part)
-                if digits < 5 or b - a > MAX_CHARS:
+                if digits < 5:
                     continue
                 whole = "whole" if (i, j) == (0, len(groups) - 1) else "part"
                 yield at + a, at + b, ("phone", "id_number"), [f"N={shape(part)}", f"digits={min(digits, 16)}", f"chunk={whole}"]
@@ -201,14 +206,15 @@ def candidates(text: str, m: dict) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, features) of every span that may be more than words."""
     found = []
     low = text.lower()
-    words = set(WORD.findall(low))
+    listed = WORD.findall(low)
+    words = set(listed)
     rare = words - m["known"]
     runs = DIGIT_RUN.findall(text)
     if "@" in text or words & MAIL_WORDS or "at]" in low or "at)" in low or "at}" in low:
         found += _emails(text)
     if any(len(r) > 4 and sum(map(str.isdigit, r)) > 4 for r in runs):
         found += _numbers(text)
-    if len(words & DIGIT_WORDS) > 2:
+    if words & SPOKEN_WORDS and sum(w in SPOKEN_WORDS for w in listed) > 4:  # of seven, the outer two may be joined to more
         found += _spelled(text)
     if runs and (words & ROAD_WORDS or any(w.endswith(ROAD_END) for w in rare)):
         found += _addresses(text, words, rare)

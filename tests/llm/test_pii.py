@@ -91,3 +91,18 @@ def test_names_anywhere_in_a_long_run():
     names = ["Marie Brambleström", "Karen Hollowquist", "Celso Hollowquist", "Dr. Brambleström", "Karen Brambleström"] * 4
     got = pii.replaced(text := "Marie, " + ", ".join(names), pii.spans_of(text, m))
     assert "Brambleström" not in got and "Hollowquist" not in got
+
+
+@pytest.mark.parametrize(
+    "number",
+    ["5 5 5 0 1 2 3 4 5 6", "+1 3 1 2 5 5 5 0 1 5 8", "five five five five five one one five five five", "seis uno dos cinco cinco cinco cero uno cinco ocho",
+     "zéro six un deux trois quatre cinq six sept huit", "null drei null zwei drei eins zwei fünf eins acht"],
+)
+def test_phone_digit_by_digit(number):
+    text = f"You can call me at {number}, thanks."
+    assert pii.replaced(text, pii.spans_of(text, pii.model())) == "You can call me at [PHONE], thanks."
+
+
+def test_long_number_with_extension_is_a_candidate():
+    text = "Call +1 3 12 5 55 01 58 ext 12 today"
+    assert "+1 3 12 5 55 01 58 ext 12" in {text[s:e] for s, e, k, _ in pii.candidates(text, pii.model()) if k == "phone"}
