@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST = 10
@@ -70,8 +71,7 @@ def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item
 
     Adjacent and overlapping windows of one item form one passage. Null texts, and texts or items of fewer words, match
     nothing; repeated rows match as often as they occur; whole texts are read. The items go to every worker while they
-    are at most ``max_chars`` characters; a larger set is matched by joining on windows (without positions, which are
-    then null).
+    are at most ``max_chars`` characters; a larger set is matched by joining on windows, with the same passages.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     own = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
@@ -98,23 +98,30 @@ def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item
 
 
 def _windows(rows: DataFrame, least: int) -> DataFrame:
-    """(id, window): the hash of every run of ``least`` words of a text."""
+    """(id, row, window, at, first_char, last_char): every run of ``least`` words of a text, with the number of its first
+    word, its characters, and a number for the row, as keys may repeat."""
     kind = rows.schema[rows.columns[0]].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, out = [], []
+            out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words_of(t)
-                mine = {" ".join(w[k : k + least]) for k in range(len(w) - least + 1)}
-                ids += [i] * len(mine)
-                out += mine
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(out, pa.string())], names=["id", "window"])
+                row += 1
+                w, spans = words_of(t), [m.span() for m in WORD.finditer(t)]
+                out += [(i, row, " ".join(w[k : k + least]), k, spans[k][0], spans[k + least - 1][1]) for k in range(len(w) - least + 1)]
+            columns = list(zip(*out)) if out else [[]] * 6
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "row", "window", "at", "first_char", "last_char"])
 
-    return rows.mapInArrow(cut, f"id {kind}, window string")
+    return rows.mapInArrow(cut, f"id {kind}, row long, window string, at int, first_char int, last_char int")
 
 
 def _by_join(rows: DataFrame, own: DataFrame, least: int) -> DataFrame:
-    a, b = _windows(rows, least).withColumnRenamed("id", "doc_id"), _windows(own, least).withColumnRenamed("id", "item_id")
-    none = F.lit(None).cast("int")
-    return a.join(b, "window").select("doc_id", "item_id", none.alias("first_char"), none.alias("last_char"), none.alias("n_words")).distinct()
+    """Windows whose first words follow each other form one passage, as in the automaton."""
+    a = _windows(rows, least).withColumnRenamed("id", "doc_id")
+    b = _windows(own, least).select(F.col("id").alias("item_id"), "window").distinct()
+    order = Window.partitionBy("row", "item_id").orderBy("at")
+    hits = a.join(b, "window").withColumn("run", F.col("at") - F.row_number().over(order))
+    found = hits.groupBy("doc_id", "row", "item_id", "run").agg(F.min("first_char").alias("first_char"), F.max("last_char").alias("last_char"), F.count(F.lit(1)).alias("n"))
+    return found.select("doc_id", "item_id", "first_char", "last_char", (F.col("n") + least - 1).cast("int").alias("n_words"))

@@ -45,3 +45,12 @@ def test_letters_of_any_alphabet():
 
 def test_empty(rows):
     assert found(rows, [], [(1, ITEM)]) == [] and found(rows, [(1, ITEM)], []) == []
+
+
+def test_join_gives_the_passages_of_the_automaton(rows):
+    r = random.Random(2)
+    text = lambda n: " ".join(r.choice(["Aa", "b,", "Ç", "d_"]) for _ in range(n))
+    docs = [(i, text(60)) for i in range(20)] + [(50, "x " + ITEM + " — y " + ITEM), (50, ITEM), (50, ITEM), (51, None), (52, "")]
+    items = [(i, text(12)) for i in range(15)] + [(90, ITEM), (91, "zero " + ITEM), (91, ITEM)]
+    want = sorted(map(tuple, found(rows, docs, items, least=5)))
+    assert sorted(map(tuple, found(rows, docs, items, least=5, max_chars=5))) == want and len(want) > 30
