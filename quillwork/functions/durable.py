@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: what the cluster names in spark.checkpoint.dir; one of this machine's own only
-    where nothing is named (tests, a laptop)."""
+    where nothing is named and all executors run on this machine (tests, a laptop)."""
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if named.isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="quillwork-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
