@@ -41,7 +41,7 @@ def test_frequent_items_of_nothing(rows):
     assert heavy.frequent_items(rows("a string", [(None,)] * 5), {"a": F.col("a")}, 0.01).count() == 0
 
 
-@pytest.mark.parametrize("limit", [10_000, 20])
+@pytest.mark.parametrize("limit", [None, 10_000, 20])
 def test_top_items(rows, limit):
     r = random.Random(3)
     data = [(g, f"i{r.randrange(60):02}", r.choice([0.1, 0.5, 0.5, 0.9])) for g in "aaaaabc" for _ in range(40)]
@@ -58,6 +58,16 @@ def test_top_items(rows, limit):
     assert topn.top_items(df.limit(0), "g", "i", "s", 4, heavy=limit).count() == 0
 
 
+def test_a_heavy_group_of_equal_scores_by_default(rows):
+    data = [("hub", f"i{i:04}", 0.5) for i in range(900)] + [(f"g{i}", "x", 0.1) for i in range(600)]
+    df = rows("g string, i string, s double", data).repartition(7)
+    out = topn.top_items(df, "g", "i", "s", 5)
+    got = {tuple(x) for x in out.collect()}
+    assert got == {("hub", f"i{i:04}", 0.5) for i in range(5)} | {(f"g{i}", "x", 0.1) for i in range(600)}
+    plan = out._jdf.queryExecution().toString()
+    assert "percentile_approx" in plan and "salt" in plan
+
+
 def test_distinct_counts_and_merging(rows):
     r = random.Random(4)
     data = [(r.choice(["u", "v", "w", None]) or r.choice([None, "z"]), r.choice([1, 2, None]), r.choice(["A", "B", None])) for _ in range(300)]
