@@ -42,3 +42,14 @@ def replicated(df: DataFrame, key: str, heavy: list, salts: int = SALTS) -> Data
     """The other side of a join with ``salted``: rows of heavy keys once a salt."""
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     return df.withColumn("_salt", F.explode(F.when(is_any(F.col(key), heavy), every).otherwise(F.array(F.lit(0)))))
+
+
+def with_facts(df: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Left join with a table of one row a key. Rows of heavy keys stay where they lie: the facts of those few keys are
+    broadcast, at most PIECES * MOST_TASKS rows; all other rows are joined by shuffling."""
+    heavy = heavy_keys(df, key)
+    if not heavy:
+        return df.join(facts, key, "left")
+    here = is_any(F.col(key), heavy)
+    light = df.filter(~here | F.col(key).isNull()).join(facts, key, "left")
+    return light.unionByName(df.filter(here).join(F.broadcast(facts.filter(here)), key, "left"))
