@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.durable import written
 from quillwork.functions.keys import clean_key
+from quillwork.functions.skew import heavy_keys, with_facts
 from quillwork.llm import distinct, grouping, heavy, leaks, packing, pii, residue, setjoin, topn
 from quillwork.operators import stats
 from quillwork.sources.readers import table
@@ -58,18 +59,18 @@ def p5_found(s, d):
 
 
 def _partials6(s, d):
+    """The partial results of both fields. A business is folded to its days before its state is attached."""
     keys = [clean_key("user_id").alias("user_id"), clean_key("business_id").alias("business_id"), F.to_date("reviewed_at").alias("day")]
-    review = table(s, d, "review").select(*keys)
-    states = stats.business_states(table(s, d, "business"))
-    users = review.distinct().join(states, "business_id", "left")
+    review, states = table(s, d, "review").select(*keys), stats.business_states(table(s, d, "business"))
+    users = with_facts(review.filter("user_id is not null"), states, "business_id")
     businesses = review.select("business_id", "day").distinct().join(states, "business_id", "left")
-    return distinct.merge(
-        distinct.partial(users, "user_id", F.col("user_id"), ["day", "state"]), distinct.partial(businesses, "business_id", F.col("business_id"), ["day", "state"])
-    )
+    groups, heavy = ["day", "state"], heavy_keys(review, "user_id")  # looked for before the join, not after it
+    return [distinct.partial(users, "user_id", F.col("user_id"), groups, heavy), distinct.partial(businesses, "business_id", F.col("business_id"), groups, [])]
 
 
 def p6_distinct_counts(s, d):
-    return distinct.counts(_partials6(s, d), GROUPINGS)
+    users, businesses = (distinct.counts(p, GROUPINGS) for p in _partials6(s, d))
+    return users.union(businesses)
 
 
 def p7_found(s, d):

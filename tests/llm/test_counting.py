@@ -68,7 +68,7 @@ def test_a_heavy_group_of_equal_scores_by_default(rows):
     assert "percentile_approx" in plan and "salt" in plan
 
 
-def test_distinct_counts_and_merging(rows):
+def test_distinct_counts_and_merging(rows, spark, tmp_path):
     r = random.Random(4)
     data = [(r.choice(["u", "v", "w", None]) or r.choice([None, "z"]), r.choice([1, 2, None]), r.choice(["A", "B", None])) for _ in range(300)]
     df = rows("id string, day int, state string", data)
@@ -80,6 +80,10 @@ def test_distinct_counts_and_merging(rows):
     a, b = df.filter("day = 1"), df.filter("day = 2 or day is null")
     part = lambda x: distinct.partial(x, "id", F.col("id"), ["day", "state"])
     for p in (part(df), distinct.merge(part(a), part(b), part(a))):
-        got = {(x.grouping, x.day, x.state): x.n for x in distinct.counts(p, sets, 4).collect()}
+        got = {(x.grouping, x.day, x.state): x.n for x in distinct.counts(p, sets).collect()}
         assert got == dict(want)
+    part(a).write.parquet(str(tmp_path / "a"))
+    part(b).write.parquet(str(tmp_path / "b"))
+    again = distinct.merge(*(spark.read.parquet(str(tmp_path / x)) for x in "ab"))
+    assert {(x.grouping, x.day, x.state): x.n for x in distinct.counts(again, sets).collect()} == dict(want)
     assert distinct.counts(part(df.limit(0)), sets).count() == 0
