@@ -1,25 +1,33 @@
-"""Evaluation texts leaking into training texts: one Aho-Corasick automaton over the words of all test items.
+"""Evaluation texts leaking into training texts: an Aho-Corasick automaton over the words of the test items.
 
-Words are maximal runs of letters and digits, compared without case; all between them is ignored. Every window of
-``least`` consecutive words of an item is a pattern over word numbers, so the automaton reads each text once, and a
-match says which words, and with them which characters of the original, are leaked.
+Words are maximal runs of letters and digits, compared without case; all between them is ignored. Any ``least``
+consecutive words of an item hold a whole block of ``least // 2`` words that begins at a multiple of that many words,
+so only these blocks are patterns: the automaton has one node a word of an item, and reads each text once. A block that
+is met is extended to both sides along the item; what reaches ``least`` words is a leak, and says which words, and with
+them which characters of the original, are leaked.
+
+Items beyond what one automaton may hold are split into several of bounded size, each item whole in one of them; the
+texts are read once for each, and the passages are the same.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quillwork.functions.durable import written
 
 LEAST = 10
-MAX_ITEM_CHARS = 64 << 20  # test items up to so many characters go to every worker; more are matched by a join
+MAX_ITEM_BYTES = 8 << 20  # of item text in one automaton; a worker then holds about 250 MB
+GROUPS = 4096
 WORD = re.compile(r"[^\W_]+")
-FOUND = "doc_id {kind}, item_id {item}, first_char int, last_char int, n_words int"
 
 
 def words_of(text: str) -> list[str]:
@@ -27,20 +35,26 @@ def words_of(text: str) -> list[str]:
 
 
 class Automaton:
-    """All windows of ``least`` words of the items, as one automaton over word numbers."""
+    """The blocks of all items, as one automaton over word numbers."""
 
     def __init__(self, items: list[tuple], least: int):
-        self.least, self.numbers = least, {}
-        windows: dict[tuple, set] = {}
+        self.least, self.block, self.numbers = least, max(1, least // 2), {}
+        self.items, self.codes = [], []
+        places: dict[tuple, list] = {}
         for item, text in items:
-            codes = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text or "")]
-            for i in range(len(codes) - least + 1):
-                windows.setdefault(tuple(codes[i : i + least]), set()).add(item)
+            words = words_of(text or "")
+            if len(words) < least:
+                continue
+            codes = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
+            for i in range(0, len(codes) - self.block + 1, self.block):
+                places.setdefault(tuple(codes[i : i + self.block]), []).append((len(self.items), i))
+            self.items.append(item)
+            self.codes.append(codes)
         self.tree = None
-        if windows:
+        if places:
             self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for window, ids in windows.items():
-                self.tree.add_word(window, tuple(sorted(ids)))
+            for block, where in places.items():
+                self.tree.add_word(block, where)
             self.tree.make_automaton()
 
     def scan(self, text: str) -> list[tuple]:
@@ -51,77 +65,88 @@ class Automaton:
         codes = tuple(number(w.casefold(), 0) for w in WORD.findall(text))
         if len(codes) < self.least:
             return []
+        runs: dict = {}  # of an item and a shift between its words and those of the text: the end of the last run seen
         passages: dict = {}
-        for end, ids in self.tree.iter(codes):
-            for item in ids:
-                runs = passages.setdefault(item, [])
-                if runs and end <= runs[-1][1] + 1:
-                    runs[-1][1] = end
-                else:
-                    runs.append([end - self.least + 1, end])
+        for end, where in self.tree.iter(codes):
+            start = end - self.block + 1
+            for k, i in where:
+                if runs.get((k, start - i), -1) >= end:
+                    continue
+                own, a, b = self.codes[k], start, end
+                while a and a - start + i and codes[a - 1] == own[a - 1 - start + i]:
+                    a -= 1
+                while b + 1 < len(codes) and b + 1 - start + i < len(own) and codes[b + 1] == own[b + 1 - start + i]:
+                    b += 1
+                runs[k, start - i] = b
+                if b - a + 1 >= self.least:
+                    passages.setdefault(k, []).append((a, b - self.least + 1))  # first words of leaked windows
         if not passages:
             return []
-        spans = [m.span() for m in WORD.finditer(text)]
-        return [(item, spans[a][0], spans[b][1], b - a + 1) for item, runs in passages.items() for a, b in runs]
+        spans, out = [m.span() for m in WORD.finditer(text)], []
+        for k, windows in passages.items():
+            joined: list = []
+            for a, z in sorted(windows):
+                if joined and a <= joined[-1][1] + 1:
+                    joined[-1][1] = max(z, joined[-1][1])
+                else:
+                    joined.append([a, z])
+            out += [(self.items[k], spans[a][0], spans[z + self.least - 1][1], z - a + self.least) for a, z in joined]
+        return out
+
+
+_built: list = []  # the broadcast a worker used last, and its automaton
+
 
+def _automaton(shared, least: int) -> Automaton:
+    if not _built or _built[0] is not shared or _built[1].least != least:
+        _built[:] = []
+        _built[:] = [shared, Automaton(shared.value, least)]
+    return _built[1]
 
-def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST, max_chars: int = MAX_ITEM_CHARS) -> DataFrame:
+
+def _shares(own: DataFrame, most: int) -> list[list[int]]:
+    """Hash groups of items, put together until they hold ``most`` bytes of text."""
+    sizes = own.groupBy("group").agg(F.sum(F.octet_length("text")).alias("b")).collect()  # at most GROUPS rows
+    shares, left = [], 0
+    for r in sorted(sizes):
+        if not shares or left < r.b:
+            shares.append([])
+            left = most
+        shares[-1].append(r.group)
+        left -= r.b
+    return shares
+
+
+def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """(key, item key, first_char, last_char, n_words): each passage of at least ``least`` consecutive words that a
     document shares with an item, characters counted from 0 in the original text, the last one exclusive.
 
-    Adjacent and overlapping windows of one item form one passage. Null texts, and texts or items of fewer words, match
-    nothing; repeated rows match as often as they occur; whole texts are read. The items go to every worker while they
-    are at most ``max_chars`` characters; a larger set is matched by joining on windows, with the same passages.
+    A passage is a longest run of a document's words each ``least`` of which stand in the item one after the other.
+    Null texts, and texts or items of fewer words, match nothing; repeated rows match as often as they occur; whole
+    texts are read. Items go to the workers ``max_bytes`` of text at a time, at any number of items.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    own = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
-    shape = FOUND.format(kind=kind, item=item_kind)
+    arrow, sc = to_arrow_type(items.schema[item_key].dataType), docs.sparkSession.sparkContext
+    own = items.select(F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
+    own = own.withColumn("group", F.pmod(F.xxhash64("item", "text"), F.lit(GROUPS)).cast("int"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    if (own.agg(F.sum(F.length("text"))).first()[0] or 0) > max_chars:
-        found = _by_join(rows, own, least)
-    else:
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])  # bounded by the check above
+    names = ["doc_id", "item_id", "first_char", "last_char", "n_words"]
+
+    def found(groups: list[int]) -> DataFrame:
+        part = own.filter(F.col("group").isin(groups)).select("item", "text").collect()  # bounded by ``max_bytes``, or one group
+        shared = sc.broadcast([tuple(r) for r in part])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, least)
+            automaton = _automaton(shared, least)
             for batch in batches:
                 hits = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for h in automaton.scan(t)]
                 columns = list(zip(*hits)) if hits else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, types[1], pa.int32(), pa.int32(), pa.int32()])], names=names)
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        names = ["doc_id", "item_id", "first_char", "last_char", "n_words"]
-        types = {1: to_arrow_type(items.schema[item_key].dataType)}
-        found = rows.mapInArrow(scan, shape)
-    return found.withColumnsRenamed({"doc_id": key, "item_id": item_key})
-
-
-def _windows(rows: DataFrame, least: int) -> DataFrame:
-    """(id, row, window, at, first_char, last_char): every run of ``least`` words of a text, with the number of its first
-    word, its characters, and a number for the row, as keys may repeat."""
-    kind = rows.schema[rows.columns[0]].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row += 1
-                w, spans = words_of(t), [m.span() for m in WORD.finditer(t)]
-                out += [(i, row, " ".join(w[k : k + least]), k, spans[k][0], spans[k + least - 1][1]) for k in range(len(w) - least + 1)]
-            columns = list(zip(*out)) if out else [[]] * 6
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "row", "window", "at", "first_char", "last_char"])
-
-    return rows.mapInArrow(cut, f"id {kind}, row long, window string, at int, first_char int, last_char int")
-
-
-def _by_join(rows: DataFrame, own: DataFrame, least: int) -> DataFrame:
-    """Windows whose first words follow each other form one passage, as in the automaton."""
-    a = _windows(rows, least).withColumnRenamed("id", "doc_id")
-    b = _windows(own, least).select(F.col("id").alias("item_id"), "window").distinct()
-    order = Window.partitionBy("row", "item_id").orderBy("at")
-    hits = a.join(b, "window").withColumn("run", F.col("at") - F.row_number().over(order))
-    found = hits.groupBy("doc_id", "row", "item_id", "run").agg(F.min("first_char").alias("first_char"), F.max("last_char").alias("last_char"), F.count(F.lit(1)).alias("n"))
-    return found.select("doc_id", "item_id", "first_char", "last_char", (F.col("n") + least - 1).cast("int").alias("n_words"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, arrow, pa.int32(), pa.int32(), pa.int32()])], names=names)
+
+        return rows.mapInArrow(scan, f"doc_id {kind}, item_id {item_kind}, first_char int, last_char int, n_words int")
+
+    shares = _shares(own, max_bytes) or [[]]
+    parts = [found(s) for s in shares]
+    if len(parts) > 1:  # each pass is stored, so its broadcast needn't outlive it
+        parts = [written(p) for p in parts]
+    return reduce(DataFrame.union, parts).withColumnsRenamed({"doc_id": key, "item_id": item_key})

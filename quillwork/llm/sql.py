@@ -40,4 +40,13 @@ b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') A
 dw AS (SELECT DISTINCT id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM d WHERE len(w) >= 10)),
 bw AS (SELECT DISTINCT id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM b WHERE len(w) >= 10))
 SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id FROM dw JOIN bw USING (g)""",
+        # words k, and what stands before each of them: their characters are counted from both
+        "p9_passages": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w, regexp_split_to_array(text, '[\\p{L}\\p{N}]+') AS s FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT id, i, lower(array_to_string(w[i : i + 9], ' ')) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM d WHERE len(w) >= 10)),
+bw AS (SELECT DISTINCT id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM b WHERE len(w) >= 10)),
+h AS (SELECT dw.id AS doc_id, bw.id AS item_id, i, i - row_number() OVER (PARTITION BY dw.id, bw.id ORDER BY i) AS run FROM dw JOIN bw USING (g)),
+p AS (SELECT doc_id, item_id, min(i) AS a, max(i) + 9 AS z FROM h GROUP BY doc_id, item_id, run)
+SELECT doc_id, item_id, CAST(length(array_to_string(s[1 : a], '')) + length(array_to_string(w[1 : a - 1], '')) AS INTEGER) AS first_char,
+  CAST(length(array_to_string(s[1 : z], '')) + length(array_to_string(w[1 : z], '')) AS INTEGER) AS last_char, CAST(z - a + 1 AS INTEGER) AS n_words FROM p JOIN d ON d.id = doc_id""",
     }
