@@ -62,8 +62,11 @@ def frequent_items(df: DataFrame, columns: dict[str, Column], share: float, erro
     with the interval its count is guaranteed to lie in, at most ``error`` of all rows wide.
 
     Nulls are no value but count among the rows. Partition summaries are merged by adding counts and deltas; where a
-    partition doesn't hold an item, its bound is added instead. An empty table gives no rows.
+    partition doesn't hold an item, its bound is added instead. An empty table gives no rows. ``error`` must lie below
+    ``share``: no more than 1 / (share - error) items of a column can then come out.
     """
+    if not 0 < error < share:
+        raise ValueError(f"error {error} must lie between 0 and share {share}")
     parts = written(summaries(df, columns, error))
     totals = parts.filter("item is null").groupBy("field").agg(F.sum("bound").alias("bounds"), F.sum("n_rows").alias("n_rows"))
     merged = parts.filter("item is not null").groupBy("field", "item").agg(F.sum("n").alias("n"), F.sum("delta").alias("delta"), F.sum("bound").alias("bound"))

@@ -8,10 +8,13 @@ length.
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,10 @@ from quillwork.functions.durable import written
 
 CAPACITY = 2048
 ROWS_A_SALT = 1_000_000
-MAX_RUNS = 500_000  # broadcast bound of the plan
+MAX_RUNS = 500_000  # broadcast bound of the plan; a full histogram of 2,048 lengths takes some 3,500
+MAX_WORDS = 500_000  # words whose token count a worker keeps
+# fixed values: the pattern by which byte-level tokenizers cut texts into words
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAN = "length int, first_rank long, n_items long, first_container long, each long, base int"
 
 
@@ -29,13 +35,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Counter(dict):
+    """Tokens of a text. A tokenizer that first cuts texts into words by the byte-level pattern merges only within
+    words, so a word is tokenized once and its count kept; any other tokenizer gets whole texts."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        parts = json.loads(Path(path).read_text(encoding="utf-8"))
+        cut = parts.get("pre_tokenizer") or {}
+        self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not parts.get("normalizer")
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # such strings in a text are ordinary text
-    return t
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        n = self[word] = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return n
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if self.by_word:
+            return [sum(map(self.__getitem__, WORD.findall(t))) for t in texts]
+        out = []
+        for i in range(0, len(texts), 64):  # few at a time: encodings are much larger than texts
+            out += [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
+        return out
+
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    return Counter(path)
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str | None = None) -> DataFrame:
@@ -43,12 +73,9 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str | None = Non
     path, kind = tokenizer or default_tokenizer(), df.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+        c = counter(path)
         for batch in batches:
-            texts, n = batch.column(1).to_pylist(), []
-            for i in range(0, len(texts), 64):  # few at a time: encodings are much larger than texts
-                n += [len(e.ids) for e in t.encode_batch([x or "" for x in texts[i : i + 64]], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["key", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.counts([x or "" for x in batch.column(1).to_pylist()]), pa.int32())], names=["key", "n_tokens"])
 
     return df.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(count, f"key {kind}, n_tokens int").withColumnRenamed("key", key)
 
@@ -142,3 +169,20 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.sum("c").alias("n_pieces"), F.max("t").alias("fullest"),
         F.try_divide(F.sum("t"), F.count(F.lit(1)) * capacity).alias("used"),
     )
+
+
+def check(packed: DataFrame, lengths: DataFrame, key: str, capacity: int = CAPACITY, least_used: float = 0.99) -> DataFrame:
+    """(what, n): what must hold of containers, counted where it is broken; and the texts placed."""
+    placed = packed.filter("container_id is not null")
+    loads = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+    ends = F.col("first_token") + F.col("n_tokens")
+    beside = F.lead("first_token").over(Window.partitionBy("container_id").orderBy("first_token"))
+    texts = packed.groupBy(key).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("pieces"), F.count("container_id").alias("in_containers"))
+    both = lengths.join(texts, key, "full_outer")
+    counted = [
+        both.agg(F.count_if(F.col("in_containers") > 0).alias("texts placed"), F.count_if(~F.col("t").eqNullSafe(F.col("n_tokens"))).alias("texts with tokens lost or repeated"),
+                 F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= capacity)).alias("texts split for no reason"), F.count_if((F.col("n_tokens") > 0) & (F.col("in_containers") < F.col("pieces"))).alias("texts with pieces nowhere")),
+        loads.agg(F.count_if(F.col("t") > capacity).alias("containers above capacity"), F.coalesce(F.count(F.lit(1)) > F.ceil(F.sum("t") / capacity) / least_used + 1, F.lit(False)).cast("long").alias("too much unused space")),
+        placed.withColumn("beside", beside).agg(F.count_if((ends > F.col("beside")) | (ends > capacity)).alias("pieces that overlap")),
+    ]
+    return reduce(DataFrame.union, [c.select(F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(f"`{n}`").cast("long").alias("n")) for n in c.columns])).alias("x")).select("x.*") for c in counted])

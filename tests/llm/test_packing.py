@@ -58,3 +58,28 @@ def test_empty(rows):
     df = rows("doc_id long, n_tokens int")
     assert packing.pack(df, "doc_id").count() == 0
     assert packing.fill(packing.pack(df, "doc_id")).select(F.col("used").isNull()).first()[0]
+
+
+def test_counts_by_word_are_those_of_whole_texts(rows):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = ["", " ", "a  b\n\n c\t", "I'm here, they'LL don't <|endoftext|> x", "naïve Straße ещё 漢字 \U0001f600\u200d ½ ²", "x" * 5000, "1234 5,6.7%% --- ...", "\r\n \u00a0 e\u0301"]
+    texts += ["".join(random.Random(i).choice("aé 'sD1\n漢!  ") for _ in range(300)) for i in range(40)]
+    c = packing.Counter(path)
+    assert c.by_word and c.counts(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    c.by_word = False
+    assert c.counts(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    df = rows("doc_id long, text string, n_tokens int", [(1, None, 5), (2, "", 5), (3, "two words", 5)])
+    assert {r.doc_id: r.n_tokens for r in packing.token_counts(df, "doc_id", "text").collect()} == {1: 0, 2: 0, 3: 2}
+
+
+def test_check_sees_what_is_broken(rows):
+    lengths = rows("doc_id long, n_tokens int", [(1, 4), (2, 9), (3, 0)])
+    good = packing.pack(lengths, "doc_id", 10)
+    assert {r.what: r.n for r in packing.check(good, lengths, "doc_id", 10).collect() if r.n} == {"texts placed": 2}
+    bad = rows("doc_id long, piece int, n_tokens int, container_id long, first_token int", [(1, 0, 2, 0, 0), (1, 1, 2, 0, 1), (2, 0, 8, 0, 4), (3, 0, 0, None, None)])
+    got = {r.what: r.n for r in packing.check(bad, lengths, "doc_id", 10).collect() if r.n}
+    assert got == {"texts placed": 2, "texts with tokens lost or repeated": 1, "texts split for no reason": 1, "containers above capacity": 1, "pieces that overlap": 2}
