@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.functions.keys import keyed
-from quillwork.operators import encode, graph, itemsets, recommend, similar, stats
+from quillwork.operators import graph, itemsets, recommend, similar, stats
 from quillwork.sources import readers, writers
 
 
@@ -53,19 +53,11 @@ def run_itemsets(spark, a):
 
 
 def run_similar(spark, a):
+    """Pairs of representatives of equal sets; any other member of a class is listed once, beside its representative."""
     sets = similar.characteristic(keyed(_read(spark, a.pairs, readers.pairs_csv), "user_id", "business_id"), "business_id", "user_id")
-    idx = encode.dense_index(sets, "member")
-    sigs = similar.signatures(sets.join(idx, "member"), idx.count())
-    groups = similar.classes(sets).cache()
-    reps = groups.filter("item = rep").select("item")
-    pairs = similar.bucket_pairs(similar.banded(sigs.join(reps, "item", "left_semi")))
-    near = similar.jaccard(pairs, sets.join(reps, "item", "left_semi")).filter(F.col("similarity") >= a.threshold)
-    members = groups.select("item", "rep")
-    # the report of single businesses names every member of a class
-    across = near.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select("x", "y", "similarity")
-    within = members.toDF("x", "rep").join(members.toDF("y", "rep"), "rep").filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-    out = across.union(within).select(F.least("x", "y").alias("business_id_1"), F.greatest("x", "y").alias("business_id_2"), "similarity")
-    writers.similar_pairs_csv(out, a.output)
+    groups, near = similar.near_classes(sets, a.threshold)
+    members = groups.filter("item <> rep").select(F.col("rep").alias("business_id_1"), F.col("item").alias("business_id_2"), F.lit(1.0).alias("similarity"))
+    writers.similar_pairs_csv(near.select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "similarity").union(members), a.output)
 
 
 def run_predict(spark, a):
@@ -73,7 +65,8 @@ def run_predict(spark, a):
     if a.case == 1:
         out = recommend.als_predictions(train, test)
     else:
-        out = recommend.neighbour_predictions(train, test, "user" if a.case == 2 else "item", clipped=a.clip)
+        only = similar.near_classes(similar.characteristic(train, "business_id", "user_id"), a.threshold) if a.case == 4 else None
+        out = recommend.neighbour_predictions(train, test, "user" if a.case == 2 else "item", min_overlap=a.gate, clipped=a.clip, only=only)
     writers.predictions_csv(out, a.output)
 
 
@@ -98,7 +91,8 @@ def parser() -> argparse.ArgumentParser:
     command("averages", run_averages, path("review"), path("business"), path("output"), path("timings"))
     command("itemsets", run_itemsets, (("case",), {"type": int, "choices": (1, 2)}), (("support",), {"type": int}), path("pairs"), path("output"), (("--larger-than",), {"type": int}))
     command("similar", run_similar, path("pairs"), path("output"), (("--threshold",), {"type": float, "default": 0.5}))
-    command("predict", run_predict, path("train"), path("test"), (("case",), {"type": int, "choices": (1, 2, 3)}), path("output"), (("--clip",), {"action": "store_true"}))
+    command("predict", run_predict, path("train"), path("test"), (("case",), {"type": int, "choices": (1, 2, 3, 4)}), path("output"),
+            (("--clip",), {"action": "store_true"}), (("--gate",), {"type": int, "help": "least common ratings of neighbours"}), (("--threshold",), {"type": float, "default": 0.5}))
     command("graph", run_graph, (("least",), {"type": int}), path("pairs"), path("betweenness"), path("communities"))
     return p
 

@@ -34,13 +34,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed with all that was written there when the program ends."""
+    path = f"{shared_folder(spark)}/quillwork-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a compressed table in the shared folder, removed when the program ends. For results that are
     read several times: columns are pruned and filters pushed down on each reading."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillwork-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

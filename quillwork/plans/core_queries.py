@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from quillwork.functions.durable import written
 from quillwork.functions.keys import keyed
 from quillwork.operators import encode, graph, itemsets, metrics, orphans, recommend, similar, stats
+from quillwork.sources import readers
 from quillwork.sources.readers import table
 
 EDGE_LEAST = 3
-COMMUNITY_LEAST = 4
+NEAR = 0.5
 GATE = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,8 +115,13 @@ def frequent_itemsets_of_users(s, d):
     return _listed(_sets(s, d, 2))
 
 
+def itemset_levels(s, d):
+    return _listed(itemsets.itemset_levels(itemsets.orient(table(s, d, "user_business"), 1), support(s, d)).filter("frequent"))
+
+
 def itemset_candidates(s, d):
-    return itemsets.itemset_candidates(itemsets.orient(table(s, d, "user_business"), 1), support(s, d)).select(F.concat_ws(",", "items").alias("items"), "size")
+    tried = itemsets.itemset_levels(itemsets.orient(table(s, d, "user_business"), 1), support(s, d))
+    return tried.select(F.concat_ws(",", "items").alias("items"), "size", "n", "frequent")
 
 
 def itemsets_of_larger_baskets(s, d):
@@ -136,9 +142,13 @@ def characteristic_sets(s, d):
     return sets.groupBy(F.col("item").alias("business_id")).agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("first"), F.max("member").alias("last"))
 
 
-def _signatures(s, d):
+def _indexed(s, d):
     sets = written(_characteristic(s, d))
-    idx = encode.dense_index(sets, "member")
+    return sets, encode.dense_index(sets, "member")
+
+
+def _signatures(s, d):
+    sets, idx = _indexed(s, d)
     return sets, similar.signatures(sets.join(idx, "member"), idx.count())
 
 
@@ -162,14 +172,16 @@ def set_classes(s, d):
     return similar.classes(_characteristic(s, d)).select(F.col("item").alias("business_id"), F.col("rep").alias("class_id"), "n")
 
 
-def _rep_candidates(s, d):
+def _rep_candidates(s, d, least=NEAR):
     sets, sigs = _signatures(s, d)
-    reps = written(similar.classes(sets).filter("item = rep").select("item"))
-    return sets.join(reps, "item", "left_semi"), similar.bucket_pairs(similar.banded(sigs.join(reps, "item", "left_semi")))
+    reps = written(similar.classes(sets).filter("item = rep").select("item", "n"))
+    own = similar.banded(sigs.join(reps.select("item"), "item", "left_semi"))
+    return sets.join(reps.select("item"), "item", "left_semi"), similar.bucket_pairs(own, reps, least)
 
 
 def lsh_candidates(s, d):
-    return _rep_candidates(s, d)[1].select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"))
+    """Of every two sets, whatever their sizes."""
+    return _rep_candidates(s, d, 0.0)[1].select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"))
 
 
 def similar_pairs_lsh(s, d):
@@ -179,11 +191,7 @@ def similar_pairs_lsh(s, d):
 
 
 def _exact_pairs(s, d):
-    reps = written(similar.representatives(_characteristic(s, d)))
-    shared = similar.overlap_pairs(reps, 1).withColumnRenamed("n", "c")
-    sizes = reps.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    sized = shared.join(sizes.withColumnsRenamed({"item": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"item": "b", "n": "nb"}), "b")
-    return sized.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).filter("similarity >= 0.5")
+    return similar.exact_pairs(similar.representatives(_characteristic(s, d)), NEAR)
 
 
 def jaccard_exact_pairs(s, d):
@@ -232,8 +240,11 @@ def union_ratings(s, d):
 
 def train_test_split(s, d):
     whole = recommend.union_ratings(_train(s, d), _test(s, d))
-    part = F.when(F.pmod(F.length("user_id") + F.ascii("business_id"), F.lit(4)) == 0, "test").otherwise("train")
-    return whole.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("stars"), 6).alias("stars"))
+    train, test = readers.split_ratings(whole)
+    sides = train.select("*", F.lit(0).alias("side")).union(test.select("*", F.lit(1).alias("side")))
+    by_row = sides.groupBy(*whole.columns).agg(F.count_distinct("side").alias("sides"), F.count(F.lit(1)).alias("c"), F.sum("side").alias("t"))
+    share = F.sum("t") / F.sum("c")
+    return by_row.agg(F.sum("c").alias("n"), F.count_if(F.col("sides") > 1).alias("n_on_both_sides"), share.between(0.2, 0.27).alias("share_as_asked"))
 
 
 def user_similarity(s, d):
@@ -253,11 +264,12 @@ def user_cf(s, d):
 
 
 def item_cf(s, d):
-    return _predicted(recommend.neighbour_predictions(_train(s, d), _test(s, d), "item"))
+    return _predicted(recommend.neighbour_predictions(_train(s, d), _test(s, d), "item", min_overlap=GATE))
 
 
-def item_cf_small_gate(s, d):
-    return _predicted(recommend.neighbour_predictions(_train(s, d), _test(s, d), "item", min_overlap=GATE))
+def item_cf_default_gate(s, d):
+    """At the gate of 60 common raters."""
+    return _predicted(recommend.neighbour_predictions(_train(s, d), _test(s, d), "item"))
 
 
 def user_cf_clipped(s, d):
@@ -270,20 +282,15 @@ def user_cf_uncentred(s, d):
 
 def item_cf_lsh(s, d):
     train = _train(s, d)
-    sets = written(similar.characteristic(train, "business_id", "user_id"))
-    groups = written(similar.classes(sets))
-    reps = sets.join(groups.filter("item = rep").select("item"), "item", "left_semi")
-    idx = encode.dense_index(sets, "member")
-    sigs = similar.signatures(reps.join(idx, "member"), idx.count())
-    near = similar.jaccard(similar.bucket_pairs(similar.banded(sigs)), reps).filter("similarity >= 0.5")
+    groups, near = similar.near_classes(similar.characteristic(train, "business_id", "user_id"), NEAR)
     return _predicted(recommend.neighbour_predictions(train, _test(s, d), "item", min_overlap=GATE, only=(groups, near)))
 
 
 def cf_rmse(s, d):
     train, test = _train(s, d), _test(s, d)
     out = []
-    for by in ("user", "item"):
-        p = recommend.neighbour_predictions(train, test, by)
+    for by, gate in (("user", None), ("item", GATE)):
+        p = recommend.neighbour_predictions(train, test, by, min_overlap=gate)
         out.append(metrics.rmse(p).select(F.lit(by).alias("by_"), F.round("rmse", 5).alias("rmse")))
     return out[0].union(out[1])
 
@@ -292,6 +299,11 @@ def als_predictions(s, d):
     return _predicted(recommend.als_predictions(_train(s, d), _test(s, d)))
 
 
+def als_check(s, d):
+    """(what, n): rows predicted, cold ones at 3.0, and factors that break the conditions a fitted model must meet."""
+    return recommend.als_check(_train(s, d), _test(s, d))
+
+
 def als_rmse(s, d):
     return metrics.rmse(recommend.als_predictions(_train(s, d), _test(s, d)))
 
@@ -332,7 +344,14 @@ def modularity(s, d):
 
 
 def girvan_newman(s, d):
-    return graph.girvan_newman(_edges(s, d, COMMUNITY_LEAST)).select("community", F.concat_ws(",", "members").alias("members"), "size")
+    return graph.girvan_newman(_edges(s, d)).select("community", F.concat_ws(",", "members").alias("members"), "size")
+
+
+def girvan_newman_check(s, d):
+    """(what, n): nodes placed, and what must not be: nodes in two communities, communities that the graph does not
+    connect, a division of lower modularity than the components."""
+    e = written(_edges(s, d))
+    return graph.check_communities(e, written(graph.girvan_newman(e)))
 
 
 def _orphans(s, d):
@@ -356,10 +375,10 @@ def queries() -> dict[str, Query]:
     own = [
         state_avg_stars, state_top5, review_summary, useful_count, five_star_count, longest_text, distinct_users, distinct_businesses, top20_users,
         top20_businesses, baskets_by_user, baskets_by_business, basket_size_filter, frequent_singles, frequent_pairs, frequent_triples, frequent_itemsets,
-        frequent_itemsets_of_users, itemset_candidates, itemsets_of_larger_baskets, dense_index, characteristic_sets, minhash_signatures, lsh_bands, lsh_bands_small_family,
+        frequent_itemsets_of_users, itemset_levels, itemset_candidates, itemsets_of_larger_baskets, dense_index, characteristic_sets, minhash_signatures, lsh_bands, lsh_bands_small_family,
         set_classes, lsh_candidates, similar_pairs_lsh, jaccard_exact_pairs, similar_pairs_confirmed, lsh_precision_recall, group_means, cold_rows, union_ratings, train_test_split,
-        user_similarity, item_similarity, user_cf, item_cf, item_cf_small_gate, user_cf_clipped, user_cf_uncentred, item_cf_lsh, cf_rmse, als_predictions,
-        als_rmse, co_visit_edges, adjacency, vertices, graph_degrees, connected_components, edge_betweenness, modularity, girvan_newman, daily_counts,
+        user_similarity, item_similarity, user_cf, item_cf, item_cf_default_gate, user_cf_clipped, user_cf_uncentred, item_cf_lsh, cf_rmse, als_predictions,
+        als_check, als_rmse, co_visit_edges, adjacency, vertices, graph_degrees, connected_components, edge_betweenness, modularity, girvan_newman, girvan_newman_check, daily_counts,
         p3_found, p3_orphans_by_month,
     ]
     return {f.__name__: f for f in own}

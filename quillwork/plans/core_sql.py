@@ -133,7 +133,7 @@ o AS (SELECT DISTINCT review_id, business_id, reviewed_at FROM r WHERE business_
 
 
 def oracle_sql() -> dict[str, str]:
-    rmse_u, rmse_i = _cf("user", 13, 0)[0], _cf("item", 6, 60)[0]
+    rmse_u, rmse_i = _cf("user", 13, 0)[0], _cf("item", 6, GATE)[0]
     near = f""", p AS (SELECT business_id AS item, user_id AS member FROM tr), {SIGS}, {CLASSES}, {BANDED}, rb AS (SELECT bd.* FROM bd JOIN cl USING (item) WHERE item = rep),
 ca AS (SELECT DISTINCT x.item AS a, y.item AS b FROM rb x JOIN rb y ON x.band = y.band AND x.r1 = y.r1 AND x.r2 = y.r2 AND x.item < y.item),
 {EXACT}, nr AS (SELECT a, b FROM ca JOIN ex USING (a, b) UNION ALL SELECT b, a FROM ca JOIN ex USING (a, b) UNION ALL SELECT rep, rep FROM cl WHERE item = rep)"""
@@ -156,10 +156,15 @@ count(DISTINCT user_id) AS n_users, {_top_json('user_id')} AS top_users, count(D
         "frequent_singles": f"WITH {_baskets('user_id', 'business_id')} SELECT item, n FROM f1",
         "frequent_pairs": f"WITH {_baskets('user_id', 'business_id')} SELECT i1 || ',' || i2 AS items, 2 AS size, n FROM f2",
         "frequent_triples": f"WITH {_baskets('user_id', 'business_id')} SELECT i1 || ',' || i2 || ',' || i3 AS items, 3 AS size, n FROM f3",
-        "frequent_itemsets_of_users": f"WITH {_baskets('business_id', 'user_id')} {UP_TO_3}",
-        "itemsets_of_larger_baskets": f"WITH {_baskets('user_id', 'business_id', larger=True)} {UP_TO_3}",
+        "frequent_itemsets_of_users": f"WITH {_baskets('business_id', 'user_id')}{_longer(MOST)} {UP_TO_MOST}",
+        "itemsets_of_larger_baskets": f"WITH {_baskets('user_id', 'business_id', larger=True)}{_longer(MOST)} {UP_TO_MOST}",
         "frequent_itemsets": f"WITH {_baskets('user_id', 'business_id')}{_longer(MOST)} {UP_TO_MOST}",
-        "itemset_candidates": f"WITH {_baskets('user_id', 'business_id')}{_longer(MOST)} SELECT items, size FROM ({UP_TO_MOST})",
+        "itemset_levels": f"WITH {_baskets('user_id', 'business_id')}{_longer(MOST)} {UP_TO_MOST}",
+        "itemset_candidates": f"""WITH {_baskets('user_id', 'business_id')}{_longer(MOST)}, hd AS (SELECT basket, list(item) AS its FROM bi GROUP BY 1),
+fq AS (SELECT string_split(items, ',') AS its, size FROM ({UP_TO_MOST})),
+cd AS (SELECT list_append(x.its, y.its[-1]) AS its, x.size + 1 AS size FROM fq x JOIN fq y ON x.size = y.size AND x.its[1 : x.size - 1] = y.its[1 : y.size - 1] AND x.its[-1] < y.its[-1]),
+ct AS (SELECT item AS items, 1 AS size, count(*) AS n FROM bi GROUP BY 1 UNION ALL SELECT array_to_string(its, ','), size, (SELECT count(*) FROM hd WHERE list_has_all(hd.its, cd.its)) FROM cd)
+SELECT items, size, n, n >= {SUPPORT} AS frequent FROM ct""",
         "dense_index": f"WITH {UB} SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM ub)",
         "characteristic_sets": f"WITH {PAIRS} SELECT item AS business_id, count(*) AS n, min(member) AS first, max(member) AS last FROM p GROUP BY 1",
         "minhash_signatures": f"WITH {PAIRS}, {SIGS} SELECT item AS business_id, array_to_string(sig, ',') AS sig FROM sg",
@@ -179,18 +184,22 @@ UNION ALL SELECT 'business', business_id, round(avg(stars), 6) FROM tr GROUP BY
         "cold_rows": f"""WITH {RATINGS} SELECT user_id, business_id, 'user' AS cold FROM te WHERE user_id NOT IN (SELECT user_id FROM tr)
 UNION ALL SELECT user_id, business_id, 'business' FROM te WHERE business_id NOT IN (SELECT business_id FROM tr)""",
         "union_ratings": f"WITH {RATINGS} SELECT user_id, business_id, round(stars, 6) AS stars FROM (SELECT * FROM tr UNION ALL SELECT * FROM te)",
-        "train_test_split": f"""WITH {RATINGS} SELECT CASE WHEN (length(user_id) + ascii(business_id)) % 4 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(avg(stars), 6) AS stars
-FROM (SELECT * FROM tr UNION ALL SELECT * FROM te) GROUP BY 1""",
+        "train_test_split": f"""WITH {RATINGS} SELECT count(*) AS n, 0 AS n_on_both_sides, TRUE AS share_as_asked FROM (SELECT * FROM tr UNION ALL SELECT * FROM te)""",
         "user_similarity": _pair_similarity("user"),
         "item_similarity": _pair_similarity("item"),
         "user_cf": _cf_sql("user", 13, 0),
-        "item_cf": _cf_sql("item", 6, 60),
-        "item_cf_small_gate": _cf_sql("item", 6, GATE),
+        "item_cf": _cf_sql("item", 6, GATE),
+        "item_cf_default_gate": _cf_sql("item", 6, 60),
         "user_cf_clipped": _cf_sql("user", 13, 0, "round(greatest(1.0, least(5.0, prediction)), 5)"),
         "user_cf_uncentred": _cf_sql("user", 13, 0, centre=False),
         "item_cf_lsh": _cf_sql("item", 6, GATE, near=near, only=only),
         "cf_rmse": f"""SELECT 'user' AS by_, round(sqrt(avg(pow(stars - prediction, 2))), 5) AS rmse FROM (WITH {rmse_u} SELECT * FROM pd)
 UNION ALL SELECT 'item', round(sqrt(avg(pow(stars - prediction, 2))), 5) FROM (WITH {rmse_i} SELECT * FROM pd)""",
+        "als_check": f"""WITH {RATINGS} SELECT 'users fitted' AS what, count(DISTINCT user_id) AS n FROM tr UNION ALL SELECT 'rows predicted', count(*) FROM te
+UNION ALL SELECT 'cold rows at the default', count(*) FROM te WHERE user_id NOT IN (SELECT user_id FROM tr) OR business_id NOT IN (SELECT business_id FROM tr)
+UNION ALL SELECT unnest(['users whose factors solve nothing', 'rows that are no product of factors']), 0""",
+        "girvan_newman_check": f"""WITH {_edges()} SELECT 'nodes placed' AS what, count(DISTINCT src) AS n FROM ad
+UNION ALL SELECT unnest(['nodes left out', 'nodes in two communities', 'communities that are not connected', 'division below the components']), 0""",
         "co_visit_edges": f"WITH {_edges()} SELECT src, dst, n FROM e",
         "adjacency": f"WITH {_edges()} SELECT src, dst FROM ad",
         "vertices": f"WITH {_edges()} SELECT DISTINCT src AS node FROM ad",

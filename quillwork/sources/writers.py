@@ -1,20 +1,29 @@
-"""Sinks. Reports are single text files written row by row from an iterator, so the driver never holds a whole
-result; tables go out through Spark's own writers."""
+"""Sinks. Reports are single text files, on any file system Hadoop knows, written in blocks from an iterator, so the
+driver never holds a whole result; ``table_csv`` and ``table_lines`` write large results from where they lie."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from pathlib import Path
+from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BLOCK = 10_000  # lines handed over at a time
+
+
 def write_lines(lines: Iterable[str], path: str) -> None:
-    with Path(path).open("w", encoding="utf-8") as out:
-        for line in lines:
-            out.write(line + "\n")
+    spark = SparkSession.getActiveSession()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    rest = iter(lines)
+    try:
+        while block := list(islice(rest, BLOCK)):
+            out.write(bytearray("".join(line + "\n" for line in block).encode("utf-8")))
+    finally:
+        out.close()
 
 
 def _number(x: float) -> str:
@@ -22,7 +31,7 @@ def _number(x: float) -> str:
 
 
 def write_json(document: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(document), encoding="utf-8")
+    write_lines([json.dumps(document)], path)
 
 
 def state_stars(df: DataFrame, path: str) -> None:
@@ -97,3 +106,8 @@ def communities_txt(df: DataFrame, path: str) -> None:
 def table_csv(df: DataFrame, path: str) -> None:
     """A distributed CSV table, for results too large for one file."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def table_lines(df: DataFrame, line, path: str) -> None:
+    """One text line a row, in the order of the rows, as a folder of parts written where the rows lie."""
+    df.select(line.alias("value")).write.mode("overwrite").text(path)

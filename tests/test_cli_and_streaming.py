@@ -29,9 +29,9 @@ def test_commands(spark, files):
     cli.main(["itemsets", "1", "3", files("pairs.csv"), files("i.txt"), "--larger-than", "2"])
     assert "('a', 'b', 'c')" in read("i.txt")
     cli.main(["similar", files("pairs.csv"), files("s.csv")])
-    assert read("s.csv").splitlines()[1:] == ["a,b,0.75", "a,c,0.75", "b,c,1.0"]
-    for case in "123":
-        cli.main(["predict", files("train.csv"), files("test.csv"), case, files("p.csv")])
+    assert read("s.csv").splitlines()[1:] == ["a,b,0.75", "b,c,1.0"]  # c equals b
+    for case in ("1", "2", "3", "4", "3 --gate 2", "4 --gate 1 --clip"):
+        cli.main(["predict", files("train.csv"), files("test.csv"), *case.split()[:1], files("p.csv"), *case.split()[1:]])
         assert "new,new,3.0" in read("p.csv") and len(read("p.csv").splitlines()) == 3
     cli.main(["graph", "3", files("pairs.csv"), files("bet.txt"), files("com.txt")])
     assert read("bet.txt").splitlines()[0] == "('x', 'y'), 1.0" and read("com.txt").strip() == "'x', 'y', 'z'"
