@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 MAX_CHARS = 120
+# added to the score of a span of a kind: an item left in a text costs more than a word masked for nothing
+CARE = {"person": 1.0, "phone": 1.0}
 MODEL = Path(__file__).with_name("pii_model.json")
 
 # fixed values: forms of address, particles of family names, words of streets and boxes, digit words
@@ -32,7 +34,8 @@ TITLES = frozenset("mr mrs ms miss mx dr prof professor sir madam madame mme mon
 PARTICLES = frozenset("van von de la del der den al el bin ibn di da dos du le ten ter zu st".split())
 STREETS = "street st avenue ave road rd drive dr boulevard blvd lane ln place pl court ct way terrace ter parkway pkwy highway hwy square sq trail circle cir crescent close"
 RUES = "rue avenue av bd boulevard place impasse chemin quai allée allee cours passage route square"
-CALLES = "calle c/ avenida avda av plaza paseo camino ronda carrer travesía"
+CALLES = "calle c/ avenida avda av plaza paseo camino ronda carrer travesía via viale piazza corso rua praça"
+ONE_LETTER = frozenset("aiyoeàéu")  # words that no initial is without its dot
 DIGITS = "zero one two three four five six seven eight nine oh"
 SPOKEN = f"""{DIGITS} cero uno una dos tres cuatro cinco seis siete ocho nueve zéro un une deux trois quatre cinq sept huit neuf
     null eins zwei zwo drei vier fünf fuenf sechs sieben acht neun"""
@@ -41,6 +44,7 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 AT = r"(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|\bat\b)"
 DOT = r"(?:\[\s?dot\s?\]|\(\s?dot\s?\)|\{\s?dot\s?\}|\bdot\b|\bpunkt\b|\bpunto\b|\bpoint\b)"
 EMAIL = re.compile(rf"[\w.+\-]*\w\s{{0,2}}{AT}\s{{0,2}}[\w\-]+(?:\.[\w\-]+|\s{{0,2}}{DOT}\s{{0,2}}[\w\-]+)+", re.I)
+PLAIN_EMAIL = re.compile(r"[\w.+\-]*\w@[\w\-]+(?:\.[\w\-]+)+")
 NUMBER = re.compile(r"(?:\b[A-Za-z]{2}[ ](?=\d\d[ ]\d\d[ ]\d\d[ ]?[A-Za-z]\b))?\+?\(?[A-Za-z]{0,8}\d\w*(?:\)?[  ]?[-–./]?[  ]?\(?(?:\d\w*|[A-Za-z](?!\w)))*(?:[ ,]{0,2}(?:x|ext\.?|extension)[ ]?\d{1,6})?", re.I)
 GROUP = re.compile(r"\+?\(\d+\)|\+?\w+")
 EXTENSION = re.compile(r"(?:x|ext\.?|extension)[ ]?\d{1,6}$", re.I)
@@ -72,9 +76,43 @@ def shape(s: str) -> str:
     return re.sub(r"\d+|[^\W\d_]+", lambda m: str(len(m.group())) if m.group().isdigit() else f"a{len(m.group())}", s)
 
 
+class Letters:
+    """How likely a word is by its letters, each given the two before it."""
+
+    def __init__(self, words):
+        self.n: dict = {}
+        self.after: dict = {}
+        for w in words:
+            w = f"^^{w}$"
+            for i in range(2, len(w)):
+                self.n[w[i - 2 : i + 1]] = self.n.get(w[i - 2 : i + 1], 0) + 1
+                self.after.setdefault(w[i - 2 : i], []).append(w[i])
+
+    def score(self, word: str) -> float:
+        """Mean log probability of a letter."""
+        w, total = f"^^{word}$", 0.0
+        for i in range(2, len(w)):
+            total += math.log((self.n.get(w[i - 2 : i + 1], 0) + 0.1) / (len(self.after.get(w[i - 2 : i], ())) + 4))
+        return total / (len(w) - 2)
+
+    def word(self, r, least: int = 4, most: int = 11) -> str:
+        """A word by these letters, of ``least`` to ``most``."""
+        while True:
+            out, two = "", "^^"
+            while len(out) <= most:
+                c = r.choice(self.after[two])
+                if c == "$":
+                    break
+                out, two = out + c, two[1] + c
+            if least <= len(out) <= most:
+                return out
+
+
 def prepared(m: dict) -> dict:
-    m = m | {k: frozenset(m[k]) for k in ("given", "common", "endings")}
-    return m | {"known": m["common"] | m["given"] | TITLES | PARTICLES | DIGIT_WORDS}
+    """A model with what is looked up while texts are read."""
+    m = m | {"given": frozenset(m["given"]), "family": frozenset(m["family"])}
+    known = m["common"].keys() | m["proper"].keys() | m["given"] | m["family"] | TITLES | PARTICLES | DIGIT_WORDS
+    return m | {"known": known, "hints": m["given"] | m["family"] | TITLES, "ordinary": known - m["family"] - m["given"], "names": Letters(m["family"] | m["given"]), "words": Letters(m["common"]), "seen": {}}
 
 
 @lru_cache(maxsize=1)
@@ -134,7 +172,9 @@ def _addresses(text: str, words: set[str], rare: set[str]):
 
 
 def _emails(text: str):
-    for m in EMAIL.finditer(text):
+    written = list(EMAIL.finditer(text))
+    taken = {m.span() for m in written}
+    for m in [*written, *(p for p in PLAIN_EMAIL.finditer(text) if p.span() not in taken)]:
         s = m.group().lower()
         how = "@" if "@" in s else "bracket" if re.search(r"[\[({]\s?at", s) else "word"
         dots = "." if "." in s.partition("@")[2] else "dot"
@@ -142,62 +182,130 @@ def _emails(text: str):
         yield m.start(), m.end(), ("email",), [f"at={how}", f"at={how} dots={dots}", f"top={last if len(last) > 1 else 'letter'}"]
 
 
+def _is_typo(low: str, known, other: bool) -> bool:
+    """Whether one letter less, more, swapped or (if asked) other makes it a known word of at least four letters."""
+    if len(low) < 4:
+        return False
+    cuts = [(low[:i], low[i:]) for i in range(len(low) + 1)]
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñ"
+    if any(len(low) > 4 and a + b[1:] in known or len(b) > 1 and a + b[1] + b[0] + b[2:] in known for a, b in cuts if b):
+        return True
+    return any(other and a + c + b[1:] in known or a + c + b in known for a, b in cuts for c in letters)
+
+
+def _unknown(low: str, upper: bool, m: dict) -> tuple[str, int]:
+    """(U, u or c, how name-like its letters are) of a word that no list holds. A word in small letters that is a typing
+    slip away from a known one is ordinary, a capitalised one only if it is so from the name of a place or thing."""
+    got = m["seen"].get((low, upper))
+    if got is None:
+        slip = _is_typo(low, m["proper"].keys() if upper else m["ordinary"], not upper)
+        like = max(-3, min(3, round(2 * (m["names"].score(low) - m["words"].score(low)))))
+        got = ("c" if slip else "U" if upper else "u"), like
+        if len(m["seen"]) > 200_000:
+            m["seen"].clear()
+        m["seen"][low, upper] = got
+    return got
+
+
+# fixed values: endings that family names of several languages have
+ENDINGS = """son sen sson ssen sohn ton ston ham ford wick wich field feld brook bach beck stone stein ley leigh worth bury burgh berg burg borg strand ström strom quist kvist lund lind gren dahl holm man mann bauer hauer meier meyer
+maier hofer huber müller möller stadt dorf wood wald hoff hof ski sky ska cki czyk wicz vich vic ović ova ev ov enko chuk uk escu eanu ez az iz oz es ez inho ini ino elli etti ucci azzi one ano esi poulos idis akis yan ian dottir dóttir
+nen inen la aho vale dale shaw well cott sted stead feather smith wright land more mere more er ard aud eau ier oux in on ell ett""".split()
+_TAILS = tuple(sorted(set(ENDINGS), key=lambda e: (-len(e), e)))
+
+
+def ending(low: str) -> str:
+    """The longest ending of a family name that a word has, if anything stands before it."""
+    return next((e for e in _TAILS if low.endswith(e) and len(low) > len(e) + 1), "")
+
+
+NEAR = frozenset([" ", "-", ", ", ". ", ".", "  ", "\u00a0", "-\u200b"])
+NAME_CODES = frozenset("TGSPIpUuC")
+
+
+def _is_name(codes: list[str], gaps: list[str]) -> bool:
+    """Whether a sequence of parts may be a name: a family name (or a word that may be one) beside a given name, an
+    initial or a title, or two unknown words."""
+    if codes[0] in "pC" or codes[-1] in "pIT" or codes[-1] in "PG" and codes[0] not in "TI" and gaps[-1] != ", ":
+        return False
+    have = set(codes)
+    if have <= set("PpI") or have <= set("GpI") or have <= set("GPp"):
+        return codes == ["I", "P"] and gaps[0][0] == "."
+    if not have & set("UuSC"):
+        return codes[0] == "T" and len(codes) > 1 and have <= set("TGPIp")
+    for k, c in enumerate(codes):
+        if c == "C" and (codes[k - 1] not in "TGIU" or gaps[k - 1] not in (" ", ". ")):
+            return False
+        if c == "u" and not (k and codes[k - 1] in "GPTIupS" or k + 1 < len(codes) and codes[k + 1] in "GP" and gaps[k] == ", "):
+            return False
+    return bool(have & set("TGPI")) or codes.count("U") + codes.count("S") > 1
+
+
 def _persons(text: str, m: dict, words: list[tuple[int, int, str, str]]):
-    """Spans over name-like words that touch each other, described by the sequence of their parts."""
+    """Spans over name-like words that touch each other, described by the sequence of their parts. Spans slide over a
+    run however long it is."""
     i, n = 0, len(words)
     while i < n:
-        if words[i][3] not in "TGFIU":
+        if words[i][3] not in NAME_CODES:
             i += 1
             continue
-        run = [i]
-        while run[-1] + 1 < n:
-            a, b = words[run[-1]], words[run[-1] + 1]
-            gap = text[a[1] : b[0]]
-            if b[3] == "c" or gap not in (" ", "-", ", ", ". ", ".", "  ", " ", "-​"):
+        run, gaps = [i], []
+        while run[-1] + 1 < n and words[run[-1] + 1][3] in NAME_CODES:
+            gap = text[words[run[-1]][1] : words[run[-1] + 1][0]]
+            if gap not in NEAR or gap[0] == "." and words[run[-1]][3] not in "TI":
                 break
+            gaps.append(gap.replace("  ", " "))
             run.append(run[-1] + 1)
         for x in range(len(run)):
-            for y in range(x, min(len(run), x + 7)):
-                parts = [words[run[k]] for k in range(x, y + 1)]
-                codes = [p[3] for p in parts]
-                if not set("FU") & set(codes) or not set("TGI") & set(codes) or codes[0] == "p" or codes[-1] in "pIT":
-                    continue
-                pattern = codes[0] + "".join(text[parts[k][1] : parts[k + 1][0]].replace("  ", " ") + codes[k + 1] for k in range(len(parts) - 1))
-                if parts[-1][1] - parts[0][0] > MAX_CHARS:
+            for y in range(x + 1, min(len(run), x + 7)):
+                parts = [words[k] for k in run[x : y + 1]]
+                codes, between = [p[3] for p in parts], gaps[x:y]
+                if parts[-1][1] - parts[0][0] > MAX_CHARS or not _is_name(codes, between) or "@" in (text[parts[0][0] - 1 : parts[0][0]], text[parts[-1][1] : parts[-1][1] + 1]):
                     continue
-                full = "whole" if (x, y) == (0, len(run) - 1) else "part"
-                feats = [f"P={pattern}", f"run={full}"]
-                for p, code in zip(parts, codes):
-                    if code in "FU":
-                        feats += [f"end={p[2].lower()[-4:]}", f"case={'u' if p[2].isupper() else 'l' if p[2].islower() else 't'}{code}"]
+                pattern = codes[0] + "".join(map("".join, zip(between, codes[1:])))
+                short = "".join("N" if c in "GP" else "F" if c in "US" else c for c in codes)
+                end = text[max(0, parts[0][0] - 2) : parts[0][0]].strip()[-1:]
+                feats = [f"P={pattern}", f"Q={short}", f"run={'whole' if (x, y) == (0, len(run) - 1) else 'part'}", f"first={not end or end in '.!?:'}"]
+                for k, p in enumerate(parts):
+                    low, code = p[2].lower(), codes[k]
+                    if code in "Uu":
+                        feats += [f"like={code}{_unknown(low, code == 'U', m)[1]}", f"ending={ending(low)}", f"case={'u' if p[2].isupper() else 't'}{code}", f"size={min(len(low), 9)}"]
+                    elif code == "C":
+                        feats += [f"often={m['common'].get(low, 0)}", f"C={low}"]
                 yield parts[0][0], parts[-1][1], ("person",), feats
         i = run[-1] + 1
 
 
 def _words(text: str, m: dict) -> tuple[list, bool]:
-    """Words with their class: Title, Given name, Initial, Family-like, Unknown, particle, common; and whether any
-    title, or any family-like or unknown word, is there at all."""
-    given, common, endings = m["given"], m["common"], m["endings"]
+    """Words with their class: Title, Given name, Surname known as such, Initial, particle; Proper noun seen often,
+    common word (C where it is capitalised within a sentence), Unknown word (u in small letters); and whether any title
+    or any word that may be a family name is there at all."""
+    given, family, common, proper = m["given"], m["family"], m["common"], m["proper"]
     out, any_name = [], False
+    loud = sum(map(str.isupper, text)) > sum(map(str.islower, text))
     for w in WORD.finditer(text):
         s = w.group()
         low = s.lower()
         if len(s) == 1:
-            code = "I" if s.isupper() or text[w.end() : w.end() + 1] == "." else "c"
+            code = "I" if (s.isupper() and low not in ONE_LETTER or text[w.end() : w.end() + 1] == ".") and not text[max(0, w.start() - 1) : w.start()].isdigit() else "c"
         elif low in TITLES:
-            code = "T"
-        elif low in given:
-            code = "G"
+            code, any_name = "T", True
         elif low in PARTICLES:
             code = "p"
+        elif low in given:
+            code = "G"
+        elif low in proper:
+            code = "P"
+        elif low in family and (low not in common or s[0].isupper() and not loud):
+            code, any_name = "S", True
         elif low in common:
+            code = "C" if s[0].isupper() and not loud and text[max(0, w.start() - 2) : w.start()].strip()[-1:] not in ("", ".", "!", "?", ":", "\n") or s[0].isupper() and not loud and out and out[-1][3] in "TI" else "c"
+            any_name = any_name or code == "C"
+        elif "'" in s[2:] or "’" in s[2:]:
             code = "c"
-        elif len(low) > 5 and low[-4:] in endings:
-            code, any_name = "F", True
-        elif s[0].isupper() and len(s) > 2:
-            code, any_name = "U", True
         else:
-            code = "c"
+            code = "c" if len(s) < 3 and s.isupper() else "c" if len(s) < 4 and (loud or s.islower()) else _unknown(low, s[0].isupper(), m)[0]
+            any_name = any_name or code != "c"
         out.append((w.start(), w.end(), s, code))
     return out, any_name
 
@@ -208,7 +316,7 @@ def candidates(text: str, m: dict) -> list[tuple[int, int, str, list[str]]]:
     low = text.lower()
     listed = WORD.findall(low)
     words = set(listed)
-    rare = words - m["known"]
+    rare = words - m["known"]  # words no list holds
     runs = DIGIT_RUN.findall(text)
     if "@" in text or words & MAIL_WORDS or "at]" in low or "at)" in low or "at}" in low:
         found += _emails(text)
@@ -218,7 +326,7 @@ def candidates(text: str, m: dict) -> list[tuple[int, int, str, list[str]]]:
         found += _spelled(text)
     if runs and (words & ROAD_WORDS or any(w.endswith(ROAD_END) for w in rare)):
         found += _addresses(text, words, rare)
-    if rare:
+    if rare or words & m["hints"]:
         parts, any_name = _words(text, m)
         if any_name:
             found += _persons(text, m, parts)
@@ -275,7 +383,7 @@ def spans_of(text: str | None, m: dict) -> list[tuple[int, int, str]]:
     if not text or text.isspace():
         return []
     weights = m["weights"]
-    return best([(s, e, k, sum(weights.get(f, 0.0) for f in feats)) for s, e, k, feats in candidates(text, m)])
+    return best([(s, e, k, sum((weights.get(f, 0.0) for f in feats), CARE.get(k, 0.0))) for s, e, k, feats in candidates(text, m)])
 
 
 def replaced(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -290,12 +398,14 @@ def replaced(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, redacted, kinds, n_items): every text with typed placeholders, and the kinds found, sorted and distinct.
+    """(key, redacted, kinds, n_items, items): every text with typed placeholders, the kinds found, sorted and distinct,
+    and where each item stood in the original (characters from 0, the last one exclusive).
 
     Null and blank texts come back as they are; repeated rows come out as often; whole texts are read, however long;
     other columns are ignored. Runs where the rows lie, without a shuffle.
     """
     kind = df.schema[key].dataType.simpleString()
+    places = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
@@ -308,9 +418,30 @@ def redact(df: DataFrame, key: str, text: str) -> DataFrame:
                     pa.array([replaced(t, s) for t, s in zip(texts, found)], pa.string()),
                     pa.array([sorted({k for _, _, k in s}) for s in found], pa.list_(pa.string())),
                     pa.array([len(s) for s in found], pa.int32()),
+                    pa.array([[{"first": a, "last": b, "kind": k} for a, b, k in s] for s in found], places),
                 ],
-                names=["key", "redacted", "kinds", "n_items"],
+                names=["key", "redacted", "kinds", "n_items", "items"],
             )
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string"))
-    return rows.mapInArrow(work, f"key {kind}, redacted string, kinds array<string>, n_items int").withColumnRenamed("key", key)
+    return rows.mapInArrow(work, f"key {kind}, redacted string, kinds array<string>, n_items int, items array<struct<first int, last int, kind string>>").withColumnRenamed("key", key)
+
+
+def check(texts: DataFrame, redacted: DataFrame, key: str, text: str) -> DataFrame:
+    """(what, n): texts read, and how often a redaction breaks what must hold of it; keys are unique."""
+    both = texts.select(key, F.col(text).alias("text")).join(redacted, key)
+    size = F.char_length("text")
+    # the text rebuilt from what lies between its items, with their placeholders
+    built = F.aggregate(
+        "items", F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
+        lambda a, x: F.struct(F.concat(a["t"], F.substring("text", a["at"] + 1, x["first"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("t"), x["last"].alias("at")),
+    )
+    whole = F.concat(built["t"], F.substring("text", built["at"] + 1, size))
+    apart = F.transform(F.sequence(F.lit(1), F.size("items") - 1), lambda i: F.get("items", i)["first"] >= F.get("items", i - 1)["last"])
+    out = both.agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.count_if(~whole.eqNullSafe(F.col("redacted"))).alias("texts changed beside their items"),
+        F.count_if(F.exists("items", lambda x: (x["first"] < 0) | (x["last"] > size) | (x["first"] >= x["last"]))).alias("items outside their text"),
+        F.count_if((F.size("items") > 1) & ~F.forall(F.when(F.size("items") > 1, apart).otherwise(F.array(F.lit(True))), lambda x: x)).alias("items that overlap"),
+    )
+    return out.select(F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(f"`{n}`").alias("n")) for n in out.columns])).alias("x")).select("x.*")

