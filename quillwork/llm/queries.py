@@ -153,10 +153,20 @@ def p10_found(s, d):
     return _residue(s, d).select("doc_id").distinct()
 
 
+# lines that leave no doubt
+PLAIN_LINES = r"(?im)^(lorem ipsum dolor sit amet[a-z ,.]*|[0-9]{3} (not found|forbidden|bad gateway|service unavailable|internal server error))$"
+
+
+def p10_plain_lines(s, d):
+    """Documents with a line that leaves no doubt, as far as the operator found them."""
+    plain = table(s, d, "documents").filter(F.col("text").rlike(PLAIN_LINES)).select("doc_id")
+    return p10_found(s, d).join(plain, "doc_id", "left_semi")
+
+
 def p10_reasons(s, d):
     return _residue(s, d).groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("example"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p2_found, p4_found, p4_intervals, p4_intervals_check, p5_found, p6_distinct_counts, p7_found, p7_redacted, p7_spans_check, p7_plain_items, p8_containers, p8_containers_check, p8_fill, p9_found, p9_passages, p10_found, p10_reasons]
+    own = [p1_found, p2_found, p4_found, p4_intervals, p4_intervals_check, p5_found, p6_distinct_counts, p7_found, p7_redacted, p7_spans_check, p7_plain_items, p8_containers, p8_containers_check, p8_fill, p9_found, p9_passages, p10_found, p10_plain_lines, p10_reasons]
     return {f.__name__: f for f in own}

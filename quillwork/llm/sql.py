@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillwork.llm.queries import PLAIN_ITEMS
+from quillwork.llm.queries import PLAIN_ITEMS, PLAIN_LINES
 
 
 def _key(name: str) -> str:
@@ -42,6 +42,7 @@ UNION ALL SELECT 'all', NULL, NULL, field, count(DISTINCT id) FROM x WHERE id IS
         "p7_spans_check": """SELECT 'texts' AS what, count(DISTINCT review_id) AS n FROM review
 UNION ALL SELECT unnest(['texts changed beside their items', 'items outside their text', 'items that overlap']), 0""",
         "p7_plain_items": " UNION ALL ".join(f"SELECT DISTINCT review_id, '{k}' AS kind FROM review WHERE regexp_matches(text, '{p}')" for k, p in PLAIN_ITEMS.items()),
+        "p10_plain_lines": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{PLAIN_LINES}')",
         "p8_containers_check": """SELECT 'texts placed' AS what, count(*) FILTER (WHERE text <> '') AS n FROM documents
 UNION ALL SELECT unnest(['texts with tokens lost or repeated', 'texts split for no reason', 'texts with pieces nowhere', 'containers above capacity', 'too much unused space', 'pieces that overlap']), 0""",
         "p9_found": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
