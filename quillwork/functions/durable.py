@@ -47,7 +47,15 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` as soon as nothing that is still to be computed reads them."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
