@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillwork.functions.durable import written
+from quillwork.functions.durable import release, written
 from quillwork.functions.skew import heavy_keys, replicated, salted
 
 BOUND = 1_000_000  # nodes one task holds at a time; about 250 MB of Python memory with keys of 22 characters
@@ -116,13 +116,15 @@ def match_groups(matches: DataFrame, a: str, b: str, bound: int = BOUND) -> Data
         parts = -(-edges.count() // max(1, bound // 2))
         if parts <= 1:  # fewer edges than ``bound`` nodes in one partition: this forest is the global one
             break
-        forest = written(_forests(edges.repartition(parts, "a", "b"), level, bound)).filter("node <> root")
+        stored = written(_forests(edges.repartition(parts, "a", "b"), level, bound))
+        forest = stored.filter("node <> root")
         first = forest.groupBy("node").agg(F.min_by("root", F.struct("hr", "root")).alias("first"))
         roots = forest.select(F.col("root").alias("node"), F.lit(True).alias("is_root")).distinct()
         placed = written(first.join(roots, "node", "left"))
         settled.append(placed.filter("is_root is null").select("node", F.col("first").alias("root")))
         others = forest.join(placed.select("node", "first"), "node").filter("root <> first").select(F.col("root").alias("a"), F.col("first").alias("b"))
         edges = written(others.union(placed.filter("is_root").select("node", "first")).distinct())
+        release(stored)
     else:
         raise RuntimeError(f"the graph did not fit one partition after {MAX_LEVELS} levels")
     named = written(_forests(edges.coalesce(1) if settled else edges.repartition(1), MAX_LEVELS, bound).filter("node <> root").select("node", "root"))

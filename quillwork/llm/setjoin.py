@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwork.functions.durable import written
+from quillwork.functions.durable import release, written
 from quillwork.functions.keys import clean_key
 
 SKETCH_WORDS = 2
@@ -69,6 +69,7 @@ def similar_set_pairs(
     )
     tokens = written(pairs.groupBy("u").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("level")).withColumn("tid", F.monotonically_increasing_id()))
     sets = written(pairs.join(sizes, ["side", "b"]).join(tokens, "u").select("id", "side", "n", "w0", "w1", "tid", "level"))
+    release(pairs, tokens)
 
     own = _class_of(F.col("n"))
     # the larger set looks into every class that a set of at least t times its size may be in
@@ -120,6 +121,7 @@ def similar_set_pairs(
         return r.join(s, "sig").filter(order & fits & sides).select(F.col("r_id").alias("r"), F.col("s_id").alias("s"), F.col("r_n").alias("rn"), F.col("s_n").alias("sn"))
 
     candidates = written(met(probes, indexed).union(met(hard_probes, hard_indexed)).distinct())
+    release(groups)
     holds = sets.select("id", "tid")
     common = (
         candidates.join(holds.withColumnRenamed("id", "s"), "s")
