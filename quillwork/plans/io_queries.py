@@ -11,6 +11,7 @@ from quillwork.operators import graph, itemsets, similar, stats
 from quillwork.plans import core_queries as core
 from quillwork.sources import readers, writers
 from quillwork.sources.readers import table
+from quillwork.streaming import running
 
 
 def lines_of(s, path: str) -> DataFrame:
@@ -129,6 +130,32 @@ def table_lines(s, d):
     return s.read.text(path).groupBy(F.col("value").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _streamed(s, d, make, mode: str) -> DataFrame:
+    """What a stream over the reviews has written once it has read all there is. The rows go to a table in the shared
+    folder batch by batch; in complete mode a batch takes the place of the one before."""
+    out = shared_path(s)
+    rows = make(readers.table_stream(s, d, "review"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    run = rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", shared_path(s)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema(rows.schema).parquet(out)
+
+
+def stream_state_average(s, d):
+    """The running state averages after all reviews; rows delivered twice count once, as long as none is late."""
+    found = _streamed(s, d, lambda r: running.running_state_average(r, table(s, d, "business")), "complete")
+    return found.select("state", F.round("stars", 6).alias("stars"), "n")
+
+
+def stream_days(s, d):
+    """Reviews of each day that the watermark has closed."""
+    found = _streamed(s, d, running.reviews_by_window, "append")
+    return found.select(F.to_date("start").alias("day"), "n", F.round("stars", 6).alias("stars"))
+
+
 def band_chooser(s, d):
     """(hashes, bands, rows) for families of several sizes at a similarity of 0.5."""
     return s.createDataFrame([(n, *similar.choose_bands(n)) for n in (6, 12, 20, 28, 60, 120)], "hashes int, bands int, rows int")
@@ -148,6 +175,6 @@ def lsh_pairs_of_other_family(s, d):
 def queries():
     own = [
         json_scan, business_json_scan, csv_scan, csv_scan_header_by_name, partition_control, sampled_rows, json_document, state_stars_report, timing_report, itemset_report,
-        similar_pairs_report, predictions_report, betweenness_report, communities_report, table_lines, band_chooser, lsh_pairs_of_other_family,
+        similar_pairs_report, predictions_report, betweenness_report, communities_report, table_lines, stream_state_average, stream_days, band_chooser, lsh_pairs_of_other_family,
     ]
     return {f.__name__: f for f in own}

@@ -39,6 +39,11 @@ SELECT a AS business_id_1, b AS business_id_2, round(similarity, 6) AS similarit
         "communities_report": f"""SELECT row_number() OVER (ORDER BY n, component) AS line, text FROM (SELECT component, count(*) AS n, string_agg('''' || node || '''', ', ' ORDER BY node) AS text
   FROM ({core['connected_components']}) GROUP BY 1)""",
         "table_lines": "SELECT concat_ws('|', business_id, strftime(added_at, '%Y-%m-%d')) AS text, count(*) AS n FROM business GROUP BY 1",
+        "stream_state_average": f"""WITH {c.STATES}, u AS (SELECT review_id, min(nullif(trim(business_id), '')) AS business_id, min(stars) AS stars FROM review WHERE reviewed_at IS NOT NULL GROUP BY 1)
+SELECT state, round(avg(stars), 6) AS stars, count(*) AS n FROM u JOIN b USING (business_id) WHERE stars IS NOT NULL GROUP BY 1""",
+        "stream_days": """WITH u AS (SELECT review_id, min(reviewed_at) AS seen_at, min(stars) AS stars FROM review WHERE reviewed_at IS NOT NULL GROUP BY 1)
+SELECT CAST(seen_at AS DATE) AS day, count(*) AS n, round(avg(stars), 6) AS stars FROM u
+GROUP BY 1 HAVING CAST(seen_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(seen_at) FROM u) - INTERVAL 30 DAY""",
         "band_chooser": """SELECT n AS hashes, min(b) AS bands, CAST(n // min(b) AS INTEGER) AS rows
 FROM (SELECT unnest([6, 12, 20, 28, 60, 120]) AS n), (SELECT unnest(range(1, 121)) AS b) WHERE n % b = 0 AND pow(1.0 / b, 1.0 * b / n) < 0.5 GROUP BY n""",
         "lsh_pairs_of_other_family": other,

@@ -17,6 +17,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a data folder as a stream of its files, be it one file or a folder of them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    many = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    stream = spark.readStream.schema(table(spark, folder, name).schema)
+    return stream.parquet(f"{folder}/{name}.parquet") if many else stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def reviews_json(spark: SparkSession, path: str) -> DataFrame:
     """Review records, one JSON object a line; keys beyond the schema are skipped while parsing."""
     return spark.read.schema(REVIEW).json(path)

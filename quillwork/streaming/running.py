@@ -12,8 +12,9 @@ LATE = "30 days"
 
 
 def fresh_reviews(reviews: DataFrame, late: str = LATE) -> DataFrame:
-    """Reviews delivered twice come out once; those later than the watermark are dropped, as are those without a time."""
-    return reviews.filter("reviewed_at is not null").withWatermark("reviewed_at", late).dropDuplicatesWithinWatermark(["review_id"])
+    """Reviews delivered twice come out once; those later than the watermark are dropped, as are those without a time. A
+    time without zone is one of the session's zone."""
+    return reviews.filter("reviewed_at is not null").withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp")).withWatermark("reviewed_at", late).dropDuplicatesWithinWatermark(["review_id"])
 
 
 def running_state_average(reviews: DataFrame, business: DataFrame, late: str = LATE) -> DataFrame:

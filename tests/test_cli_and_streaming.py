@@ -48,3 +48,15 @@ def test_streams(spark, rows, tmp_path):
     got = {r.state: r.n for r in spark.table("avg").collect()}
     assert got == {"AZ": 10, "NV": 10}
     assert spark.table("win").select(F.count("*")).first()[0] >= 0
+
+
+def test_registered_streams_over_a_folder_and_zoneless_times(spark, rows, tmp_path):
+    from quillwork.plans import io_queries
+
+    days = [datetime(2024, 1, 1), datetime(2024, 1, 2, 12), datetime(2024, 3, 1)]
+    data = rows("review_id long, user_id string, business_id string, stars double, reviewed_at timestamp_ntz", [(i % 7, "u", " a", float(1 + i % 7 % 5), days[i % 7 % 3]) for i in range(21)] + [(9, "u", "a", 1.0, None)])
+    data.repartition(3).write.parquet(str(tmp_path / "review.parquet"))
+    rows("business_id string, state string", [("a", "AZ")]).write.parquet(str(tmp_path / "business.parquet"))
+    got = io_queries.stream_state_average(spark, str(tmp_path)).collect()
+    assert [(r.state, r.n) for r in got] == [("AZ", 7)]
+    assert {(r.day.day, r.n) for r in io_queries.stream_days(spark, str(tmp_path)).collect()} == {(1, 3), (2, 2)}
