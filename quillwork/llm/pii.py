@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 MAX_CHARS = 120
+MAX_DIGITS = 20  # no number of a phone or a person has more
 # added to the score of a span of a kind: an item left in a text costs more than a word masked for nothing
 CARE = {"person": 1.0, "phone": 1.0}
 MODEL = Path(__file__).with_name("pii_model.json")
@@ -152,6 +154,8 @@ def _numbers(text: str):
                 digits = sum(c.isdigit() for c in part)
                 if digits < 5:
                     continue
+                if digits > MAX_DIGITS:
+                    break
                 whole = "whole" if (i, j) == (0, len(groups) - 1) else "part"
                 yield at + a, at + b, ("phone", "id_number"), [f"N={shape(part)}", f"digits={min(digits, 16)}", f"chunk={whole}"]
 
@@ -310,8 +314,9 @@ def _words(text: str, m: dict) -> tuple[list, bool]:
     return out, any_name
 
 
-def candidates(text: str, m: dict) -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, kind, features) of every span that may be more than words."""
+def candidates(text: str, m: dict) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(start, end, kind, features) of every span that may be more than words, one after the other: a long text may
+    propose many."""
     found = []
     low = text.lower()
     listed = WORD.findall(low)
@@ -319,22 +324,21 @@ def candidates(text: str, m: dict) -> list[tuple[int, int, str, list[str]]]:
     rare = words - m["known"]  # words no list holds
     runs = DIGIT_RUN.findall(text)
     if "@" in text or words & MAIL_WORDS or "at]" in low or "at)" in low or "at}" in low:
-        found += _emails(text)
+        found.append(_emails(text))
     if any(len(r) > 4 and sum(map(str.isdigit, r)) > 4 for r in runs):
-        found += _numbers(text)
+        found.append(_numbers(text))
     if words & SPOKEN_WORDS and sum(w in SPOKEN_WORDS for w in listed) > 4:  # of seven, the outer two may be joined to more
-        found += _spelled(text)
+        found.append(_spelled(text))
     if runs and (words & ROAD_WORDS or any(w.endswith(ROAD_END) for w in rare)):
-        found += _addresses(text, words, rare)
+        found.append(_addresses(text, words, rare))
     if rare or words & m["hints"]:
         parts, any_name = _words(text, m)
         if any_name:
-            found += _persons(text, m, parts)
-    out = []
-    for start, end, kinds, feats in found:
+            found.append(_persons(text, m, parts))
+    for start, end, kinds, feats in chain.from_iterable(found):
         around = _around(text, start, end)
-        out += [(start, end, kind, [f"{kind}|{f}" for f in (*feats, *around, "bias")]) for kind in kinds]
-    return out
+        for kind in kinds:
+            yield start, end, kind, [f"{kind}|{f}" for f in (*feats, *around, "bias")]
 
 
 def best(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
@@ -383,7 +387,8 @@ def spans_of(text: str | None, m: dict) -> list[tuple[int, int, str]]:
     if not text or text.isspace():
         return []
     weights = m["weights"]
-    return best([(s, e, k, sum((weights.get(f, 0.0) for f in feats), CARE.get(k, 0.0))) for s, e, k, feats in candidates(text, m)])
+    scored = ((s, e, k, sum((weights.get(f, 0.0) for f in feats), CARE.get(k, 0.0))) for s, e, k, feats in candidates(text, m))
+    return best([x for x in scored if x[3] > 0])
 
 
 def replaced(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:

@@ -283,7 +283,7 @@ def train(common: dict[str, int], proper: dict[str, int], seed: int = 7, sentenc
     data = []
     for _ in range(sentences):
         text, spans = maker.text()
-        cands = pii.candidates(text, m)
+        cands = list(pii.candidates(text, m))
         if cands:
             data.append(([(*c[:3], thinned(c[3], c[2], maker.r)) for c in cands], _gold(cands, spans)))
     w, g2 = defaultdict(float), defaultdict(lambda: 1.0)

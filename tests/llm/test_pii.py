@@ -137,3 +137,9 @@ def test_phone_digit_by_digit(number):
 def test_long_number_with_extension_is_a_candidate():
     text = "Call +1 3 12 5 55 01 58 ext 12 today"
     assert "+1 3 12 5 55 01 58 ext 12" in {text[s:e] for s, e, k, _ in pii.candidates(text, pii.model()) if k == "phone"}
+
+
+def test_long_texts_of_nothing_but_numbers_or_names():
+    m = pii.model()
+    for text in ("7 " * 25_000, "Zvorak " * 7_000, "0123456789" * 5_000, "no " * 17_000, "A. " * 17_000):
+        assert pii.spans_of(text, m) is not None
