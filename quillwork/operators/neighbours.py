@@ -1,13 +1,16 @@
-"""Nearest neighbours among the raters of an item, in memory, for the workers of ``recommend``.
+"""Nearest neighbours among the raters of an item, and sets that overlap, in memory, for the workers of ``recommend``
+and ``similar``.
 
 The rows of all (target, rater) pairs grow as the square of a hot item's raters; here they only pass through the arrays
-of a worker, and what leaves it is at most the best few raters of a target.
+of a worker, and what leaves it is at most the best few raters of a target, or the pairs that overlap enough.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+BLOCK = 2_000_000  # rows that a worker holds at once
+
 
 class Block:
     """The ratings of every ``blocks``-th x, from number ``first`` on, by y. ``d`` is compared, ``w`` is averaged."""
@@ -65,6 +68,39 @@ class Block:
                 z[v] = 0
 
 
+class Holders:
+    """The holders of each member y: of every ``blocks``-th set x, from number ``first`` on."""
+
+    def __init__(self, n_x: int, n_y: int, x: np.ndarray, y: np.ndarray, first: int = 0, blocks: int = 1):
+        order = np.lexsort((x, y))
+        self.v = (x[order] // blocks).astype(np.int32)
+        self.at = np.searchsorted(y[order], np.arange(n_y + 1))
+        self.n, self.first, self.blocks = -(-n_x // blocks), first, blocks
+
+    def overlapping(self, x: int, ys: np.ndarray, least: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, common members) of the sets after x that share at least ``least`` of its members ``ys``.
+
+        Such a set holds one of any ``len(ys) - least + 1`` members of x: the rarest name the candidates, in the others
+        the candidates are only looked up. ``counts`` is all 0 before and after.
+        """
+        ys = ys[np.argsort(self.at[ys + 1] - self.at[ys], kind="stable")]
+        after, cut, fresh = (x - self.first) // self.blocks, max(0, len(ys) - least + 1), [np.zeros(0, np.int32)]
+        for y in ys[:cut]:
+            v = self.v[self.at[y] : self.at[y + 1]]
+            v = v[np.searchsorted(v, after, "right") :]
+            fresh.append(v[counts[v] == 0])
+            counts[v] += 1
+        found = np.concatenate(fresh)
+        if len(found):
+            for y in ys[cut:]:
+                v = self.v[self.at[y] : self.at[y + 1]]
+                if len(v):
+                    counts[found] += v[np.minimum(np.searchsorted(v, found), len(v) - 1)] == found
+        n = counts[found]
+        counts[found] = 0
+        return found[n >= least].astype(np.int64) * self.blocks + self.first, n[n >= least]
+
+
 def groups(batches):
     """(x, ys, ds, targets) of Arrow batches of (x, y, d) rows ordered by x; a target has no d. No group is cut."""
     rest: list[tuple[np.ndarray, ...]] = []
