@@ -291,7 +291,7 @@ def cf_rmse(s, d):
     out = []
     for by, gate in (("user", None), ("item", GATE)):
         p = recommend.neighbour_predictions(train, test, by, min_overlap=gate)
-        out.append(metrics.rmse(p).select(F.lit(by).alias("by_"), F.round("rmse", 5).alias("rmse")))
+        out.append(written(metrics.rmse(p).select(F.lit(by).alias("by_"), F.round("rmse", 5).alias("rmse"))))
     return out[0].union(out[1])
 
 
