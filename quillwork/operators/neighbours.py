@@ -17,7 +17,8 @@ class Block:
 
     def __init__(self, n_x: int, n_y: int, x: np.ndarray, y: np.ndarray, d: np.ndarray, w: np.ndarray, first: int = 0, blocks: int = 1):
         order = np.lexsort((x, y))
-        self.v, self.d, self.w = (x[order] // blocks).astype(np.int32), d[order], w[order]
+        self.v, self.d = (x[order] // blocks).astype(np.int32), d[order]
+        self.w = self.d if w is d else w[order]  # one array is also sent to the workers, and kept on their disks, once
         self.at = np.searchsorted(y[order], np.arange(n_y + 1))
         self.n, self.first, self.blocks = -(-n_x // blocks), first, blocks
 
